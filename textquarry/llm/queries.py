@@ -6,11 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, sharding
+from . import decontaminate, fingerprint, mixing, neardup, quality, secrets, sharding, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (sharding.op3_sharding, decontaminate.op4_decontamination, mixing.op9_mixing)
+    own = (
+        neardup.op1_minhash,
+        fingerprint.op2_fingerprints,
+        sharding.op3_sharding,
+        decontaminate.op4_decontamination,
+        quality.op5_quality,
+        tokens.op6_tokens,
+        toxicity.op8_toxicity,
+        mixing.op9_mixing,
+        secrets.op10_secrets,
+    )
     return {f.__name__: f for f in own}
 
 
