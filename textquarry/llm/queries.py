@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, mixing, neardup, quality, secrets, sharding, tokens, toxicity
+from . import decontaminate, fingerprint, mixing, neardup, quality, secrets, sharding, suffixes, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         decontaminate.op4_decontamination,
         quality.op5_quality,
         tokens.op6_tokens,
+        suffixes.op7_suffixes,
         toxicity.op8_toxicity,
         mixing.op9_mixing,
         secrets.op10_secrets,
