@@ -107,9 +107,10 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, least_items: i
     return both.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), n_items.alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (n_items >= least_items).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, least_items: int = 2) -> DataFrame:
-    """The rows of docs that hold windows of fewer than least_items items."""
-    bad = hits(docs, benchmark).where(F.size("items") >= least_items).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least_items: int = 1, shortest: int = WINDOW) -> DataFrame:
+    """The rows of docs that hold windows of fewer than least_items items; items of fewer than `shortest` words don't count."""
+    long_enough = benchmark.where(F.regexp_count(whole_text(), F.lit(WORD_ANY_CASE)) >= shortest)
+    bad = hits(docs, long_enough).where(F.size("items") >= least_items).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     return docs.join(bad, F.xxhash64(F.coalesce(docs["text"], F.lit(""))).eqNullSafe(F.col("_hash")) & docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
 
 

@@ -66,9 +66,9 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float =
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as mix_plan takes it; ids are taken to be unique."""
-    plan = mix_plan(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), F.col("copies").alias("_mix_copies"))
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_mix_id"]))
+    """The mix itself: the rows of docs, each as often as mix_plan takes it; rows with one id all follow the one taken most."""
+    plan = mix_plan(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies"))
+    joined = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("_mix_id")))
     return joined.withColumn("_mix_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*[docs[c] for c in docs.columns])
 
 

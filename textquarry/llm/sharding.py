@@ -63,7 +63,7 @@ def range_of(keys: np.ndarray, ids: np.ndarray):
 
 
 def shard_plan(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot: slots of a shard run from 0 in (key, id) order."""
+    """doc_id, size, text_crc32, key, shard, slot: slots of a shard run from 0 in (key, id) order."""
     rows = settle(sized(docs), "shard-sizes")
     total = rows.agg(F.sum("size")).first()[0] or 0
     ranges = min(MOST_RANGES, max(RANGES_A_SHARD * shards, total // RANGE_BYTES))
@@ -72,7 +72,7 @@ def shard_plan(docs: DataFrame, shards: int = 24) -> DataFrame:
     same = Window.partitionBy("range", "key")
     rows = rows.withColumn("upto", F.sum("size").over(inside)).withColumn("nth", F.count(F.lit(1)).over(inside))
     rows = rows.withColumn("group_size", F.sum("size").over(same)).withColumn("group_start", F.min(F.col("upto") - F.col("size")).over(same))
-    rows = settle(rows.drop("key", "at"), "shard-ranges")
+    rows = settle(rows.drop("at"), "shard-ranges")
     ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
     offsets = rows.groupBy("range").agg(F.sum("size").alias("bytes_in"), F.count(F.lit(1)).alias("rows_in"))
     offsets = offsets.select("range", F.coalesce(F.sum("bytes_in").over(ahead), F.lit(0)).alias("bytes_ahead"), F.coalesce(F.sum("rows_in").over(ahead), F.lit(0)).alias("rows_ahead"))
@@ -81,15 +81,17 @@ def shard_plan(docs: DataFrame, shards: int = 24) -> DataFrame:
     own, group = F.col("upto") - F.col("size") / 2.0, F.col("group_start") + F.col("group_size") / 2.0
     middle = F.col("bytes_ahead") + F.when(F.col("group_size") <= TOGETHER * target, group).otherwise(own)
     rows = rows.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle / (target or 1.0))).cast("int")).withColumn("nth", F.col("rows_ahead") + F.col("nth") - 1)
-    rows = rows.select("doc_id", "size", "text_crc32", "shard", "nth")
+    rows = rows.select("doc_id", "size", "text_crc32", "key", "shard", "nth")
     first = rows.groupBy("shard").agg(F.min("nth").alias("first"))
-    return rows.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("nth") - F.col("first")).alias("slot"))  # first: one row for each shard
+    return rows.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "key", "shard", (F.col("nth") - F.col("first")).alias("slot"))  # first: one row for each shard
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24) -> None:
-    """The rows of docs as Parquet, in one folder for each shard; ids are taken to be unique."""
-    plan = shard_plan(docs, shards).select(F.col("doc_id").alias("_shard_id"), "shard", "slot")
-    docs.join(plan, docs["doc_id"].eqNullSafe(plan["_shard_id"])).drop("_shard_id").repartitionByRange(shards * 4, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """The rows of docs as Parquet, in one folder for each shard and in slot order; equal rows go to the first one's shard."""
+    places = shard_plan(docs, shards).groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.min(F.struct("shard", "slot")).alias("_place"))
+    placed = docs.join(places, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_key")))
+    placed = placed.select(*[docs[c] for c in docs.columns], F.col("_place.shard").alias("_shard"), F.col("_place.slot").alias("_slot"))
+    placed.repartitionByRange(shards * 4, "_shard", "_slot").sortWithinPartitions("_shard", "_slot").drop("_slot").write.partitionBy("_shard").parquet(path)
 
 
 def op3_sharding(spark, sf_dir: str) -> DataFrame:
