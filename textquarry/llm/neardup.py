@@ -5,9 +5,10 @@ One hash function gives every shingle a value. The values of a set A are ordered
 |A| - ceil(t * |A|) + 1 values: under any common order two sets of similarity t or more share one of theirs, so the
 inverted lists of retained values lose no pair. Ordering by rarity only keeps these lists short.
 
-Equal sets become one node first. Every node is then paired with the neighbour that it meets in most lists, and verified pairs
-merge into components. Only pairs of a list that still lie in different components are generated after that, so a group
-of thousands of near copies costs a pair for each member. A candidate pair must pass the size bound and an estimate from the
+Equal sets become one node first. Every node is then paired with the hubs of its lists (nodes with the fewest values of their
+own, such as the original of many edited copies), then with neighbours by size, and verified pairs merge into components.
+Nodes of lists that still hold different components are indexed once more by their full sets, ordered by exact counts among
+them, and every pair of these lists that passes the bounds is generated. A candidate pair must pass bounds from the sizes and from the places of the common value, and an estimate from the
 bottom SKETCH values of the union of two uniform sketches, set so low (SLACK standard deviations) that no similar pair fails;
 then both full sets are compared.
 
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -222,6 +224,84 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, width: int, similar: int) ->
     return both.mapInPandas(verifier(width, similar), "u long, v long")
 
 
+def inverted_lists(nodes: DataFrame) -> DataFrame:
+    """value, node, n, at (the value's place in the node's order), own (values of the node that no other retains), component (itself); without lists of one."""
+    lists = nodes.select("node", "n", F.size("kept").alias("p"), F.posexplode("kept").alias("at", "value"))
+    lists = lists.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("value"))).where("many > 1").drop("many")
+    own = F.col("p") - F.count(F.lit(1)).over(Window.partitionBy("node"))
+    return settle(lists.withColumn("own", own).drop("p").withColumn("component", F.col("node")), "lists")
+
+
+def still_open(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """The lists that hold more than one component."""
+    by_value = Window.partitionBy("value")
+    placed = lists.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return placed.withColumn("low", F.min("component").over(by_value)).withColumn("high", F.max("component").over(by_value)).where("low != high").drop("low", "high")
+
+
+def can_be_similar(a: str, b: str, similar: int):
+    """Sizes allow it, and so do the places of a first common value: what precedes it is in one set only."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    shared = F.least(na - F.col(f"{a}.at"), nb - F.col(f"{b}.at"))
+    return (100 * F.least(na, nb) >= similar * F.greatest(na, nb)) & ((100 + similar) * shared >= similar * (na + nb))
+
+
+def most_met(pairs: DataFrame, most: int) -> DataFrame:
+    """For each u the v that it meets in most lists; pairs as (greater, lesser)."""
+    met = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("met"))
+    nth = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("met"), "v"))
+    return met.withColumn("nth", nth).where(F.col("nth") <= most).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+ENTRY = ("own", "node", "n", "at", "component")
+
+
+def hub_pairs(lists: DataFrame, similar: int) -> DataFrame:
+    """Each node with the hubs it meets most: the node of a list with the fewest values of its own, such as the original of many edited copies."""
+    hub = F.min(F.struct(*ENTRY)).over(Window.partitionBy("value"))
+    both = lists.select(F.struct(*ENTRY).alias("x"), hub.alias("y"))
+    return most_met(both.where((F.col("x.component") != F.col("y.component")) & can_be_similar("x", "y", similar)).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")), 2)
+
+
+def neighbour_pairs(lists: DataFrame, similar: int) -> DataFrame:
+    """Each node with the neighbours by size it meets most."""
+    before = F.lag(F.struct(*ENTRY)).over(Window.partitionBy("value").orderBy("n", "component", "node"))
+    both = lists.select(F.struct(*ENTRY).alias("x"), before.alias("y"))
+    return most_met(both.where((F.col("x.component") != F.col("y.component")) & can_be_similar("x", "y", similar)).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")), 2)
+
+
+def opened(width: int):
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_ = zstandard.ZstdDecompressor()
+        for rows in batches:
+            sets = [shingle_values(w, width).view(np.int64) for w in words_of([open_.decompress(b).decode("utf-8", "replace") for b in rows["body"]])]
+            yield pd.DataFrame({"node": rows["node"], "component": rows["component"], "part": [xxhash.xxh3_64_intdigest(b) >> 1 for b in rows["body"]], "n": [len(x) for x in sets], "values": sets})
+
+    return expand
+
+
+def sharpened(lists: DataFrame, bodies: DataFrame, width: int, similar: int) -> DataFrame:
+    """The inverted lists of the nodes that are left, with their full sets ordered by how many of these nodes hold a value.
+
+    Values that one node alone holds now come first for certain. A copy edited beyond the similarity has so many of
+    them that none of its places passes, however many other copies there are.
+    """
+    left = lists.select("node", "component").distinct()
+    each = bodies.join(left, "node").mapInPandas(opened(width), "node long, component long, part long, n long, values array<long>")
+    each = each.select("node", "component", "part", "n", F.explode("values").alias("value")).withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("value")))
+    place = F.row_number().over(Window.partitionBy("node", "part").orderBy("many", "value")) - 1
+    kept = each.withColumn("at", place).where((F.col("many") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * similar / 100)))
+    by_value = Window.partitionBy("value")
+    return kept.withColumn("low", F.min("component").over(by_value)).withColumn("high", F.max("component").over(by_value)).where("low != high").select("value", "node", "n", "at", "component")
+
+
+def cross_pairs(lists: DataFrame, similar: int) -> DataFrame:
+    """Every pair of a list that lies in different components and can be similar."""
+    a, b = lists.alias("x"), lists.alias("y")
+    both = a.join(b, (F.col("x.value") == F.col("y.value")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & can_be_similar("x", "y", similar))
+    return both.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
     nobody = -(2**63)
@@ -232,31 +312,27 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR)
     firsts = members.where("n > 0 and doc = node").select("doc", "digest").distinct()
     nodes = settle(sketches.join(firsts, ["doc", "digest"]).select(F.col("doc").alias("node"), "n", "kept", "bottom").dropDuplicates(["node", "kept"]), "nodes")
 
-    by_value = Window.partitionBy("value")
-    lists = nodes.select("node", "n", F.explode("kept").alias("value"))
-    near = by_value.orderBy("n", "node")
-    lists = lists.withColumn("many", F.count(F.lit(1)).over(by_value)).withColumn("near", F.lag("node").over(near)).withColumn("near_n", F.lag("n").over(near))
-    lists = settle(lists.where("many > 1"), "lists")
-
-    own = Window.partitionBy("u").orderBy(F.col("met").desc(), "v")
-    met = lists.where((F.col("near") != F.col("node")) & (100 * F.col("near_n") >= similar * F.col("n"))).groupBy(F.col("node").alias("u"), F.col("near").alias("v")).agg(F.count(F.lit(1)).alias("met"))
-    best = settle(met.withColumn("nth", F.row_number().over(own)).where("nth = 1").select("u", "v"), "pairs")
-
-    involved = lists.select("node").distinct()
-    keyed = texts.join(involved.select(F.col("node").alias("doc")), "doc", "left_semi").select(F.col("doc").alias("node"), "text").dropDuplicates(["node", "text"])
+    lists = inverted_lists(nodes)
+    involved = lists.select(F.col("node").alias("doc")).distinct()
+    keyed = texts.join(involved, "doc", "left_semi").select(F.col("doc").alias("node"), "text").dropDuplicates(["node", "text"])
     bodies = settle(keyed.mapInPandas(squeeze, "node long, body binary"), "bodies")
 
+    def tested(pairs: DataFrame, label: str) -> DataFrame:
+        return settle(confirmed(settle(estimated(pairs, nodes, similar), f"{label}-likely"), bodies, width, similar), f"{label}-links")
+
     twice = members.withColumn("first", F.min("node").over(Window.partitionBy("doc"))).where("node != first").select(F.col("node").alias("u"), F.col("first").alias("v"))
-    links = settle(confirmed(estimated(best, nodes, similar), bodies, width, similar).unionAll(twice), "links")
-    found = settle(components(links), "components")
-
-    placed = lists.select("value", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    spread = Window.partitionBy("value")
-    open_ = settle(placed.withColumn("low", F.min("component").over(spread)).withColumn("high", F.max("component").over(spread)).where("low != high").select("value", "node", "n", "component"), "open-lists")
-    a, b = open_.alias("a"), open_.alias("b")
-    cross = a.join(b, (F.col("a.value") == F.col("b.value")) & (F.col("a.component") < F.col("b.component")) & (100 * F.col("a.n") >= similar * F.col("b.n")) & (100 * F.col("b.n") >= similar * F.col("a.n")))
-    cross = settle(cross.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), "cross-pairs")
-    more = settle(confirmed(settle(estimated(cross, nodes, similar), "cross-likely"), bodies, width, similar), "cross-links")
+    links, found, done = settle(twice, "links"), None, None
+    for label, proposals in (("hub", hub_pairs), ("neighbour", neighbour_pairs)):
+        lists = lists if found is None else settle(still_open(lists, found), "open-lists")
+        pairs = settle(proposals(lists, similar), f"{label}-pairs")
+        if done is not None:
+            pairs = pairs.join(done, ["u", "v"], "left_anti")
+        done = pairs if done is None else done.unionAll(pairs)
+        links = links.unionAll(tested(pairs, label))
+        found = settle(components(links), "components")
+    lists = settle(sharpened(still_open(lists, found), bodies, width, similar), "sharp-lists")
+    cross = settle(cross_pairs(lists, similar).join(done, ["u", "v"], "left_anti"), "cross-pairs")
+    more = tested(cross, "cross")
     if not more.isEmpty():
         found = settle(components(links.unionAll(more)), "components")
     joined = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
