@@ -18,6 +18,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ SHARD_TOKENS = 1 << 20
 #: Bits between two entries of a plane's directory.
 RANK_BLOCK = 512
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 class WaveletMatrix:
@@ -176,31 +177,75 @@ def put(path: str, data: bytes) -> None:
     system.move(f"{folder}/{mark}{name}", f"{folder}/{name}")
 
 
+#: What str.split() cuts at beyond ASCII white space; texts that hold one go to the tokenizer whole.
+OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \t\n\r\x0b\x0c"]
+#: Punctuation that, behind a letter or digit, is a token of its own run whatever follows or precedes.
+TRAILING = ".,;:!?#$%&*"
+
+
 class Encoder:
     """The tokenizer, asked once for each distinct run between ASCII white space.
 
-    For a vocabulary that drops white space, which ends every token, the ids of a text are those of its runs in turn.
+    For a vocabulary that drops white space, which ends every token, the ids of a text are those of its runs in turn. A run of
+    letters has the ids of its lower case if it is ASCII, and trailing punctuation its own ids; runs of letters are encoded
+    many at a time, and told apart by the tokens that end a word.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+
+    def ids(self, runs: list[str]) -> list[list[int]]:
+        return [got.ids for got in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+
+    def learn(self, bases: list[str]) -> None:
+        plain = [w for w in bases if w.isalpha()]
+        ids = np.array(self.ids([" ".join(plain)])[0] if plain else [], "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) == len(plain):
+            data, a = ids.tobytes(), 0
+            for word, b in zip(plain, (4 * stops).tolist(), strict=True):
+                self.known[word] = data[a:b]
+                a = b
+            bases = [w for w in bases if not w.isalpha()]
+        for a in range(0, len(bases), 20_000):
+            part = bases[a : a + 20_000]
+            for word, got in zip(part, self.ids(part), strict=True):
+                self.known[word] = struct.pack(f"<{len(got)}I", *got)
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in texts]
+        odd = {i for i, t in enumerate(texts) if any(c in t for c in OTHER_SPACE)}
+        split = [t.split() if i not in odd else [] for i, t in enumerate(texts)]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(set().union(*split) - self.known.keys())
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = struct.pack(f"<{len(got.ids)}I", *got.ids)
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        known, parts = self.known, {}
+        for word in set().union(*split) - known.keys():
+            base = word.rstrip(TRAILING)
+            if base[-1:].isalnum() and base.isascii():
+                parts[word] = (base.lower() if base.isalpha() else base), word[len(base) :]
+            else:
+                parts[word] = word, ""
+        self.learn(list({p for pair in parts.values() for p in pair if p and p not in known}))
+        for word, (base, rest) in parts.items():
+            if rest or word != base:
+                known[word] = known[base] + known[rest] if rest else known[base]
+        out = [b"".join([known[w] for w in words]) for words in split]
+        for i in odd:
+            out[i] = np.array(self.ids([texts[i]])[0], "<u4").tobytes()
+        return out
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process: what it remembers serves its later tasks too."""
+    return Encoder(path)
 
 
 def vocabulary(name: str = VOCABULARY) -> str:
@@ -214,7 +259,7 @@ def writer(folder: str, vocabulary_path: str | None, end_id: int, shard_tokens:
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         partition, made = TaskContext.get().partitionId(), []
-        encoder = Encoder(vocabulary_path or vocabulary())
+        encode_all = encoder(vocabulary_path or vocabulary()).encode_all
         held: list[bytes] = []
         docs: list = []
         counts: list[int] = []
@@ -233,7 +278,7 @@ def writer(folder: str, vocabulary_path: str | None, end_id: int, shard_tokens:
         for rows in batches:
             for a in range(0, len(rows), 256):
                 part = rows.iloc[a : a + 256]
-                for doc_id, known, data in zip(part["doc_id"], part["known"], encoder.encode_all(part["text"].tolist()), strict=True):
+                for doc_id, known, data in zip(part["doc_id"], part["known"], encode_all(part["text"].tolist()), strict=True):
                     held.append(data + end)
                     docs.append(int(doc_id) if known else None)
                     counts.append(len(data) // 4 + 1)
