@@ -1,10 +1,10 @@
 """Toxicity: a learned lexicon, found through misspellings, and scores of each hit's context.
 
-The lexicon comes from counts over all labelled rows that may be learned from: terms that stand in toxic documents far
-more often than elsewhere. Its trie is walked together with a Levenshtein automaton for each distinct token, so a term is
+The lexicon comes from counts over a bounded sample of the labelled rows that may be learned from (the SAMPLE first ones by
+hash of the id): terms that stand in toxic documents far more often than elsewhere. Its trie is walked together with a Levenshtein automaton for each distinct token, so a term is
 found at one edit (two from eight letters on). Each hit is weighed by its window: inside quotation marks or after a
-quoting sign it counts for QUOTED of a plain one. Sums over the document go into a logistic model fitted on a bounded sample
-of labelled rows (SAMPLE); every text is scored whole.
+quoting sign it counts for QUOTED of a plain one. Sums over the document go into a logistic model fitted on the same sample;
+every text is scored whole.
 
 Null and empty texts have no hits and get the score of a text without any. Null labels are left out, repeated ones count
 again; without labels every score is 0.5. An empty table gives an empty result. Only id and text of the table are read.
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_remainder, table, whole_text
+from .shared import id_remainder, settle, table, whole_text
 
 #: A term has this many characters at least; two edits are allowed from LONG on.
 SHORTEST, LONG = 4, 8
@@ -27,7 +27,7 @@ SHORTEST, LONG = 4, 8
 LEAST_DOCS, PRECISION, TERMS = 5, 0.8, 2000
 #: Its contexts: as many as this part of its toxic documents, or of the contexts that the most varied term has.
 DIVERSE, FREQUENT = 0.4, 0.25
-#: Documents that the logistic model is fitted on.
+#: Labelled documents that lexicon and model are fitted on.
 SAMPLE = 20_000
 #: Tokens on either side that are looked at, and what a hit in quotation counts.
 SPAN, QUOTED = 6, 0.4
@@ -153,13 +153,12 @@ class Reader:
         return opens and closes
 
 
-def learned_terms(docs: DataFrame, labels: DataFrame) -> list[str]:
-    """Terms that mark toxic documents, by counts over every labelled document.
+def learned_terms(marked: DataFrame) -> list[str]:
+    """Terms that mark toxic documents, by counts over the labelled documents (text, mark) of the sample.
 
     Copies of one document would make any word of it look toxic, so a term must also stand in many different contexts
     (its neighbours where it first stands in a document): in DIVERSE of the documents, or FREQUENT of the best term's.
     """
-    marked = docs.join(labels, "doc_id")
     tokens = F.array_distinct(F.transform(F.split(F.lower(whole_text()), r"\s+"), lambda t: F.btrim(t, F.lit(EDGES))))
     each = marked.select("mark", F.explode(tokens).alias("term")).where(F.length("term") >= SHORTEST)
     counts = each.groupBy("term").agg(F.sum("mark").alias("bad"), F.count(F.lit(1)).alias("all"))
@@ -188,19 +187,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable=None) -> tuple[Lexic
     """The lexicon, and the weights of FEATURES with the constant last."""
     usable = id_remainder(5) != 0 if usable is None else usable
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("mark")).where(usable & F.col("mark").isin(0, 1) & F.col("doc_id").isNotNull())
-    texts = docs.select("doc_id", "text")
-    total, bad = marked.agg(F.count(F.lit(1)), F.coalesce(F.sum("mark"), F.lit(0))).first()
-    if not total:
-        return Lexicon([]), np.zeros(len(FEATURES) + 1)
-    lexicon = Lexicon(learned_terms(texts, marked))
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(SAMPLE)
+    marked = settle(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "mark"), "labelled")
+    if marked.isEmpty():
+        return Lexicon([]), np.zeros(len(FEATURES) + 1)
+    lexicon = Lexicon(learned_terms(marked))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(lexicon)
         for rows in batches:
             yield pd.DataFrame([[m, *reader.features(t)] for t, m in zip(rows["text"], rows["mark"], strict=True)], columns=["mark", *FEATURES])
 
-    got = texts.join(F.broadcast(sample), "doc_id").mapInPandas(read, "mark int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()  # at most SAMPLE rows
+    got = marked.mapInPandas(read, "mark int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()  # at most SAMPLE rows
     got = got.sort_values(["mark", *FEATURES])
     return lexicon, newton(got[list(FEATURES)].to_numpy(), got["mark"].to_numpy(float))
 
