@@ -1,7 +1,8 @@
 """Toxicity: a learned lexicon, found through misspellings, and scores of each hit's context.
 
 The lexicon comes from counts over a bounded sample of the labelled rows that may be learned from (the SAMPLE first ones by
-hash of the id): terms that stand in toxic documents far more often than elsewhere. Its trie is walked together with a Levenshtein automaton for each distinct token, so a term is
+hash of the id): terms that stand in toxic documents far more often than elsewhere. Terms may also be stems, for languages that toxic words are
+derived in: beginnings that several different words of a toxic document share. The trie of terms is walked together with a Levenshtein automaton for each distinct token, so a term is
 found at one edit (two from eight letters on). Each hit is weighed by its window: inside quotation marks or after a
 quoting sign it counts for QUOTED of a plain one. Sums over the document go into a logistic model fitted on the same sample;
 every text is scored whole.
@@ -25,6 +26,8 @@ from .shared import id_remainder, settle, table, whole_text
 SHORTEST, LONG = 4, 8
 #: Terms: standing in this many toxic documents at least, and this part of those that hold them is toxic. The most of them.
 LEAST_DOCS, PRECISION, TERMS = 5, 0.8, 2000
+#: Letters that a learned stem may have.
+STEMS = (5, 6, 7, 8)
 #: Its contexts: as many as this part of its toxic documents, or of the contexts that the most varied term has.
 DIVERSE, FREQUENT = 0.4, 0.25
 #: Labelled documents that lexicon and model are fitted on.
@@ -44,8 +47,10 @@ class Lexicon:
     such part where it could stand are not walked at all.
     """
 
-    def __init__(self, terms):
-        self.terms = frozenset(terms)
+    def __init__(self, terms, stems=()):
+        self.terms, self.stems = frozenset(terms), {}
+        for stem in stems:
+            self.stems.setdefault(len(stem), set()).add(stem)
         self.root: dict = {}
         self.heads, self.tails, self.middles = {}, {}, {}
         for term in self.terms:
@@ -65,6 +70,10 @@ class Lexicon:
     def allowed(size: int) -> int:
         return 2 if size >= LONG else 1
 
+    def stem(self, token: str) -> bool:
+        """Whether the token begins with a stem."""
+        return any(token[:k] in stems for k, stems in self.stems.items())
+
     def worth_it(self, token: str) -> bool:
         if any(token[:k] in parts for k, parts in self.heads.items()) or any(token[-k:] in parts for k, parts in self.tails.items()):
             return True
@@ -105,31 +114,36 @@ class Lexicon:
 
 
 #: What the logistic model sees of a document.
-FEATURES = ("plain", "misspelt", "crowded", "dense", "any")
+FEATURES = ("plain", "misspelt", "crowded", "dense", "any", "stems")
 
 
 class Reader:
     """Turns texts into features; remembers verdicts on tokens within a bound."""
 
     def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.seen, self.hits = lexicon, set(), {}
+        self.lexicon, self.seen, self.hits, self.stemmed = lexicon, set(), {}, {}
 
     def judged(self, tokens: set[str]) -> set[str]:
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
             self.hits.clear()
+            self.stemmed.clear()
         for raw in tokens - self.seen:
-            found = self.lexicon.find(raw.strip(EDGES)) if len(raw) >= SHORTEST - 1 else None
-            if found:
+            token = raw.strip(EDGES) if len(raw) >= SHORTEST - 1 else ""
+            if token and (found := self.lexicon.find(token)):
                 self.hits[raw] = found
+            elif token and self.lexicon.stem(token):
+                self.stemmed[raw] = token
         self.seen |= tokens
         return tokens & self.hits.keys()
 
     def features(self, text: str | None) -> list[float]:
         tokens = (text or "").lower().split()
-        mine = self.judged(set(tokens))
+        distinct = set(tokens)
+        mine = self.judged(distinct)
+        stems = float(np.log1p(len({self.stemmed[t] for t in distinct & self.stemmed.keys()})))
         if not mine:
-            return [0.0] * len(FEATURES)
+            return [0.0] * (len(FEATURES) - 1) + [stems]
         places = [i for i, x in enumerate(tokens) if x in mine]
         plain = misspelt = crowded = 0.0
         for n, i in enumerate(places):
@@ -141,7 +155,7 @@ class Reader:
             if n and i - places[n - 1] <= SPAN:
                 crowded += weight
         every = plain + misspelt
-        return [np.log1p(plain), np.log1p(misspelt), np.log1p(crowded), min(1.0, 20 * every / len(tokens)), min(1.0, every)]
+        return [np.log1p(plain), np.log1p(misspelt), np.log1p(crowded), min(1.0, 20 * every / len(tokens)), min(1.0, every), stems]
 
     @staticmethod
     def quoted(tokens: list[str], i: int) -> bool:
@@ -183,6 +197,29 @@ def learned_terms(marked: DataFrame) -> list[str]:
     return sorted(t for t, k in n.items() if k >= LEAST_DOCS and (k >= DIVERSE * known[t] or k >= FREQUENT * most))
 
 
+def learned_stems(marked: DataFrame) -> list[str]:
+    """Beginnings of words, such that a document with two different words that begin so is toxic; chosen as terms are, with the words as context."""
+
+    def beginnings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for text, mark in zip(rows["text"], rows["mark"], strict=True):
+                words: dict[str, list[str]] = {}
+                for w in {t.strip(EDGES) for t in (text or "").lower().split()}:
+                    for k in STEMS:
+                        if len(w) >= k:
+                            words.setdefault(w[:k], []).append(w)
+                out += [(p, mark, " ".join(sorted(ws))) for p, ws in words.items() if len(ws) > 1]
+            yield pd.DataFrame(out, columns=["stem", "mark", "words"])
+
+    each = marked.mapInPandas(beginnings, "stem string, mark int, words string")
+    counts = each.groupBy("stem").agg(F.sum("mark").alias("bad"), F.count(F.lit(1)).alias("all"), F.countDistinct(F.when(F.col("mark") == 1, F.col("words"))).alias("n"))
+    kept = counts.where((F.col("bad") >= LEAST_DOCS) & (F.col("bad") >= PRECISION * F.col("all")) & (F.col("n") >= LEAST_DOCS)).orderBy(F.col("bad").desc(), "stem").limit(TERMS).collect()  # at most TERMS
+    most = max((r["n"] for r in kept), default=0)
+    good = sorted((r["stem"] for r in kept if r["n"] >= DIVERSE * r["bad"] or r["n"] >= FREQUENT * most), key=len)
+    return [s for i, s in enumerate(good) if not any(s.startswith(o) for o in good[:i])]
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, usable=None) -> tuple[Lexicon, np.ndarray]:
     """The lexicon, and the weights of FEATURES with the constant last."""
     usable = id_remainder(5) != 0 if usable is None else usable
@@ -191,7 +228,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable=None) -> tuple[Lexic
     marked = settle(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "mark"), "labelled")
     if marked.isEmpty():
         return Lexicon([]), np.zeros(len(FEATURES) + 1)
-    lexicon = Lexicon(learned_terms(marked))
+    lexicon = Lexicon(learned_terms(marked), learned_stems(marked))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(lexicon)
