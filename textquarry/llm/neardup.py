@@ -7,8 +7,9 @@ inverted lists of retained values lose no pair. Ordering by rarity only keeps th
 
 Equal sets become one node first. Every node is then paired with the hubs of its lists (nodes with the fewest values of their
 own, such as the original of many edited copies), then with neighbours by size, and verified pairs merge into components.
-Nodes of lists that still hold different components are indexed once more by their full sets, ordered by exact counts among
-them, and every pair of these lists that passes the bounds is generated. A candidate pair must pass bounds from the sizes and from the places of the common value, and an estimate from the
+Lists that still hold different components give every pair that passes the bounds: short ones at once; the nodes of longer ones are
+indexed once more by their full sets, ordered by exact counts among them, and give the pairs of that index. (A pair is
+found where its first common value is: in a short list, or in a long one, and then both its nodes are in the second index.) A candidate pair must pass bounds from the sizes and from the places of the common value, and an estimate from the
 bottom SKETCH values of the union of two uniform sketches, set so low (SLACK standard deviations) that no similar pair fails;
 then both full sets are compared.
 
@@ -36,6 +37,8 @@ from .shared import settle, table, whole_text
 WIDTH, SIMILAR = 5, 80
 #: Values in the uniform sketch; the estimate may fall short by so many standard deviations.
 SKETCH, SLACK = 32, 6
+#: Inverted lists up to this long give their pairs at once; nodes of longer ones are indexed again first.
+SHORT_LIST = 12
 #: Buckets of the table of word counts: its size does not depend on the corpus.
 COUNT_BITS, SLICES = 20, 64
 #: Bytes hashed at once.
@@ -330,8 +333,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR)
         done = pairs if done is None else done.unionAll(pairs)
         links = links.unionAll(tested(pairs, label))
         found = settle(components(links), "components")
-    lists = settle(sharpened(still_open(lists, found), bodies, width, similar), "sharp-lists")
-    cross = settle(cross_pairs(lists, similar).join(done, ["u", "v"], "left_anti"), "cross-pairs")
+    lists = settle(still_open(lists, found).withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("value"))), "open-lists")
+    direct = cross_pairs(lists.where(F.col("many") <= SHORT_LIST), similar)
+    sharp = settle(sharpened(lists.where(F.col("many") > SHORT_LIST), bodies, width, similar), "sharp-lists")
+    cross = settle(direct.unionAll(cross_pairs(sharp, similar)).distinct().join(done, ["u", "v"], "left_anti"), "cross-pairs")
     more = tested(cross, "cross")
     if not more.isEmpty():
         found = settle(components(links.unionAll(more)), "components")
