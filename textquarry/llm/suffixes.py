@@ -36,6 +36,8 @@ LENGTH, GRAM = 200, 64
 #: Grams in a window, and the largest offset of an anchor in it.
 WIDTH = LENGTH - GRAM + 1
 BLOCK = 1 << 20
+#: Texts whose anchors are made at once.
+SLICE = 1000
 #: Suffixes sorted into one run, and suffixes merged by one task on average.
 RUN_ROWS, MERGE_ROWS = 50_000, 40_000
 _STEP = np.uint64(int(np.random.default_rng(7).integers(1, 1 << 63)) | 1)
@@ -71,9 +73,9 @@ def anchors(data: bytes, base: int = 0) -> tuple[np.ndarray, ...]:
 
 
 def anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The anchors of each text; kind 1 marks those that a row of the same batch settles."""
+    """The anchors of each text; kind 1 marks those that a row of the same slice settles."""
     with np.errstate(over="ignore"):
-        for rows in batches:
+        for rows in (batch.iloc[a : a + SLICE] for batch in batches for a in range(0, len(batch), SLICE)):
             parts: list[tuple] = []
             runs: list[int] = []
             for doc, mark, text in zip(rows["doc"], rows["mark"], rows["text"], strict=True):
@@ -144,15 +146,11 @@ def runs(batches: Iterator[pd.DataFrame], tasks: int) -> Iterator[pd.DataFrame]:
         return pd.DataFrame(out, columns=["task", "run"])
 
     for rows in batches:
-        for doc, mark, body, found in zip(rows["doc"], rows["mark"], rows["body"], rows["found"], strict=True):
-            data = None
-            for x in found:
-                if x["settled"] and not x["partner"]:
-                    continue
-                data = zstandard.ZstdDecompressor().decompress(body) if data is None else data
-                at, low, high = x["at"], x["low"], x["high"]
-                key = (x["gram"] % (1 << 64)).to_bytes(8, "big") + data[at + GRAM : at - low + LENGTH]
-                held.append((key, data[at - high : at][::-1], doc, mark, at, low, high, x["settled"]))
+        for doc, mark, body, *found in zip(*(rows[c] for c in ("doc", "mark", "body", "gram", "at", "low", "high", "settled")), strict=True):
+            data = zstandard.ZstdDecompressor().decompress(body)
+            for gram, at, low, high, settled in zip(*(x.tolist() for x in found), strict=True):
+                key = (gram % (1 << 64)).to_bytes(8, "big") + data[at + GRAM : at - low + LENGTH]
+                held.append((key, data[at - high : at][::-1], doc, mark, at, low, high, settled))
                 if len(held) >= RUN_ROWS:
                     yield flush()
     if held:
@@ -270,25 +268,24 @@ def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     open_ = zstandard.ZstdDecompressor()
     for rows in batches:
         out = []
-        for doc, body, found, more in zip(rows["doc"], rows["body"], rows["found"], rows["more"], strict=True):
+        for doc, body, starts, ends, more in zip(*(rows[c] for c in ("doc", "body", "starts", "ends", "more")), strict=True):
             data = open_.decompress(body)
-            spans = [(x["at"] - x["high"], x["at"] - x["low"] + LENGTH) for x in found if x["settled"]]
-            gone = stretches(spans + [(x["start"], x["end"]) for x in (more if more is not None else ())])
+            gone = stretches([*zip(starts.tolist(), ends.tolist(), strict=True), *((x["start"], x["end"]) for x in (more if more is not None else ()))])
             ends = [0, *(p for s in gone for p in s), len(data)]
             kept = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
             out.append((doc, len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
         yield pd.DataFrame(out, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The compressed bytes of texts with anchors; of others the digest alone."""
-    press = zstandard.ZstdCompressor(level=3)
-    for rows in batches:
-        out = []
-        for doc, mark, text, found in zip(rows["doc"], rows["mark"], rows["text"], rows["found"], strict=True):
-            data = text.encode("utf-8", "replace")
-            out.append((doc, mark, None, None, len(data), hashlib.sha256(data).hexdigest()) if found is None else (doc, mark, press.compress(data), found, len(data), None))
-        yield pd.DataFrame(out, columns=["doc", "mark", "body", "found", "n_bytes", "sha"])
+def packer():
+    """A column function: compressed UTF-8 bytes."""
+
+    @F.pandas_udf("binary")
+    def pack(texts: pd.Series) -> pd.Series:
+        press = zstandard.ZstdCompressor(level=3)
+        return texts.map(lambda t: None if t is None else press.compress(t.encode("utf-8", "replace")))
+
+    return pack
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -299,17 +296,21 @@ def removals(docs: DataFrame) -> DataFrame:
     compared = found.where("not settled or partner").count()
     by_doc = found.groupBy("doc", "mark").agg(F.collect_list(F.struct("gram", "at", "low", "high", "settled", "partner")).alias("found"))
     joined = texts.join(by_doc, ["doc", "mark"], "left")
-    entry = "array<struct<gram:long,at:int,low:short,high:short,settled:boolean,partner:boolean>>"
     # One join with the texts: those without anchors are done, of the others the bytes are kept beside their anchors.
-    state = settle(joined.mapInPandas(packed, f"doc long, mark long, body binary, found {entry}, n_bytes long, sha string"), "texts")
+    text, hit = F.col("text"), F.col("found").isNotNull()
+    state = joined.select("doc", "mark", packer()(F.when(hit, text)).alias("body"), "found", F.octet_length(text).cast("long").alias("n_bytes"), F.when(~hit, F.sha2(text.cast("binary"), 256)).alias("sha"))
+    state = settle(state, "texts")
     touched = state.where("found is not null")
     zero = F.lit(0).cast("long")
     whole = state.where("found is null").select("doc", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-compared // MERGE_ROWS))
-    sent = touched.where(F.exists("found", lambda x: ~x["settled"] | x["partner"])).mapInPandas(lambda it: runs(it, tasks), "task int, run binary")
+    compare = touched.withColumn("x", F.filter("found", lambda x: ~x["settled"] | x["partner"])).where(F.size("x") > 0)
+    sent = compare.select("doc", "mark", "body", *[F.col(f"x.{c}").alias(c) for c in ("gram", "at", "low", "high", "settled")]).mapInPandas(lambda it: runs(it, tasks), "task int, run binary")
     more = sent.repartitionById(tasks, "task").mapInPandas(merged, "doc long, mark long, start long, end long")
     more = more.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "end")).alias("more"))
-    parts = touched.join(more, ["doc", "mark"], "left").select("doc", "body", "found", "more").mapInPandas(cut, RESULT)
+    done = F.filter("found", lambda x: x["settled"])
+    starts, ends = F.transform(done, lambda x: x["at"] - x["high"]), F.transform(done, lambda x: x["at"] - x["low"] + LENGTH)
+    parts = touched.join(more, ["doc", "mark"], "left").select("doc", "body", starts.alias("starts"), ends.alias("ends"), "more").mapInPandas(cut, RESULT)
     every = parts.unionAll(whole)
     return every.select(F.when(F.col("doc") != nobody, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
