@@ -164,6 +164,35 @@ def test_dense_search_is_exact(spark):
         assert [r["doc_id"] for r in run.where(F.col("qid") == q).orderBy("rank").collect()] == want
 
 
+def test_partition_index_finds_the_exact_top(spark):
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    near = r.normal(size=(20, 16))[r.integers(20, size=3000)] + 0.4 * r.normal(size=(3000, 16))
+    for rows, least in ((near, 0.97), (r.normal(size=(1500, 16)), 0.97)):
+        df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(rows)] + [(9999, None)], "vec_id long, embedding array<double>").repartition(3)
+        index, q = retrieval.fit_partitions(df, 100, 1), df.where("vec_id < 40")
+        exact = {tuple(x) for x in retrieval.ranked(retrieval.dense_top_k(df, q, 100), 100, "e").select("qid", "doc_id").collect()}
+        run = retrieval.ranked(retrieval.dense_top_k(df, q, 100, index=index), 100, "a").collect()
+        assert len(exact) == 4000 and len({(x["qid"], x["doc_id"]) for x in run} & exact) / 4000 >= least
+        assert rows is not near or index.probes < len(index.centres) / 2
+    empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert retrieval.dense_top_k(empty, empty, 5, index=retrieval.fit_partitions(empty, 5, 1)).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_ann_fidelity(spark, sf):
+    """R05 asks for 0.99 of the exact top 100."""
+    import os
+
+    import __spark_entry__ as entry
+
+    if not os.path.isdir(f"/root/testdata/{sf}"):
+        pytest.skip("no test tables")
+    got = entry.queries()["ann_fidelity"](spark, f"/root/testdata/{sf}").toPandas()
+    assert len(got) and got["recall_100"].mean() >= 0.99 and got["recall_10"].min() >= 0.9
+
+
 def test_regression(spark):
     df = spark.range(100).select(F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("z")).withColumn("y", F.col("x") * 2 - F.col("z"))
     beta = stats.standardised_regression(df, "y", ["x", "z"])

@@ -80,14 +80,13 @@ def dense_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ann_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of the exact top 10 a hashed index finds within the query's bucket and those one bit away."""
+    """How much of the exact top 100, and of its first ten, the run of a fitted partition index holds."""
     v = read(spark, sf_dir, "embeddings")
-    exact = retrieval.dense_top_k(v, v.where("vec_id % 100 = 0"), 10)
-    exact = retrieval.ranked(exact, 10, "exact").select("qid", "doc_id")
-    b = retrieval.hashed_buckets(v, 4, SEED).select("vec_id", "bucket")
-    q = b.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.explode(F.array(F.col("bucket"), *[F.col("bucket").bitwiseXOR(F.lit(1 << i)) for i in range(4)])).alias("bucket"))
-    hit = exact.join(b.withColumnRenamed("vec_id", "doc_id"), "doc_id").join(q.withColumn("hit", F.lit(1)), ["qid", "bucket"], "left")
-    return rounded(hit.groupBy("qid").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall_10")))
+    q = v.where("vec_id % 100 = 0")
+    exact = retrieval.ranked(retrieval.dense_top_k(v, q, 100), 100, "exact").select("qid", "doc_id", "rank")
+    run = retrieval.ranked(retrieval.dense_top_k(v, q, 100, index=retrieval.fit_partitions(v, 100, SEED)), 100, "ann")
+    hit = exact.join(run.select("qid", "doc_id", F.lit(1).alias("hit")), ["qid", "doc_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    return rounded(hit.groupBy("qid").agg(F.avg(F.when(F.col("rank") <= 10, F.col("hit"))).alias("recall_10"), F.avg("hit").alias("recall_100")))
 
 
 @query(f"{BASE} SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (SELECT qid, doc_id, round(sum(1 / (60 + rank)), 6) AS score FROM r GROUP BY qid, doc_id)) WHERE rank <= 20")
