@@ -251,6 +251,14 @@ def test_toxicity(spark, docs, nothing):
     assert got(toxicity.with_toxicity(extra, none, zero), "score") == {(0.5,): 5}
 
 
+def test_copied_toxic_documents_push_no_term_out(spark):
+    own, labels = marked(spark)
+    long = " ".join(f"rare{i}x" for i in range(2500))
+    copies = spark.createDataFrame([(i, long) for i in range(1000, 1100)], "doc_id long, text string")
+    lexicon, _ = toxicity.fit_toxicity(own.unionAll(copies), labels.unionAll(copies.selectExpr("doc_id", "0 as quality", "1 as toxic")))
+    assert lexicon.terms == {"idiot"}
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -24,8 +24,8 @@ from .shared import id_remainder, settle, table, whole_text
 
 #: A term has this many characters at least; two edits are allowed from LONG on.
 SHORTEST, LONG = 4, 8
-#: Terms: standing in this many toxic documents at least, and this part of those that hold them is toxic. The most of them.
-LEAST_DOCS, PRECISION, TERMS = 5, 0.8, 2000
+#: Terms: standing in this many toxic documents at least, and this part of those that hold them is toxic.
+LEAST_DOCS, PRECISION = 5, 0.8
 #: Letters that a learned stem may have.
 STEMS = (5, 6, 7, 8)
 #: Its contexts: as many as this part of its toxic documents, or of the contexts that the most varied term has.
@@ -176,8 +176,7 @@ def learned_terms(marked: DataFrame) -> list[str]:
     tokens = F.array_distinct(F.transform(F.split(F.lower(whole_text()), r"\s+"), lambda t: F.btrim(t, F.lit(EDGES))))
     each = marked.select("mark", F.explode(tokens).alias("term")).where(F.length("term") >= SHORTEST)
     counts = each.groupBy("term").agg(F.sum("mark").alias("bad"), F.count(F.lit(1)).alias("all"))
-    likely = counts.where((F.col("bad") >= LEAST_DOCS) & (F.col("bad") >= PRECISION * F.col("all"))).orderBy(F.col("bad").desc(), "term").limit(TERMS)
-    known = {r["term"]: r["bad"] for r in likely.collect()}  # at most TERMS
+    likely = counts.where((F.col("bad") >= LEAST_DOCS) & (F.col("bad") >= PRECISION * F.col("all"))).select("term", "bad")
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -186,15 +185,20 @@ def learned_terms(marked: DataFrame) -> list[str]:
                 tokens = ["", *(t.strip(EDGES) for t in (text or "").lower().split()), ""]
                 first = {}
                 for i, t in enumerate(tokens):
-                    if t in known:
+                    if len(t) >= SHORTEST:
                         first.setdefault(t, i)
                 out |= {(t, f"{tokens[i - 1]} {tokens[i + 1]}") for t, i in first.items()}
             yield pd.DataFrame(sorted(out), columns=["term", "context"])
 
     spread = marked.where("mark = 1").select("text").mapInPandas(contexts, "term string, context string").groupBy("term").agg(F.countDistinct("context").alias("n"))
-    n = {r["term"]: r["n"] for r in spread.collect()}  # at most TERMS
-    most = max(n.values(), default=0)
-    return sorted(t for t, k in n.items() if k >= LEAST_DOCS and (k >= DIVERSE * known[t] or k >= FREQUENT * most))
+    return [r["term"] for r in varied(likely.join(spread, "term"), "terms").orderBy("term").collect()]
+
+
+def varied(counted: DataFrame, label: str) -> DataFrame:
+    """Those of the counted (bad, n) that have contexts enough. Nothing is cut before this test, as words of copied documents would push out others, nor after it."""
+    counted = settle(counted.where(F.col("n") >= LEAST_DOCS), label)
+    most = counted.agg(F.max("n")).first()[0] or 0
+    return counted.where((F.col("n") >= DIVERSE * F.col("bad")) | (F.col("n") >= FREQUENT * most))
 
 
 def learned_stems(marked: DataFrame) -> list[str]:
@@ -214,9 +218,8 @@ def learned_stems(marked: DataFrame) -> list[str]:
 
     each = marked.mapInPandas(beginnings, "stem string, mark int, words string")
     counts = each.groupBy("stem").agg(F.sum("mark").alias("bad"), F.count(F.lit(1)).alias("all"), F.countDistinct(F.when(F.col("mark") == 1, F.col("words"))).alias("n"))
-    kept = counts.where((F.col("bad") >= LEAST_DOCS) & (F.col("bad") >= PRECISION * F.col("all")) & (F.col("n") >= LEAST_DOCS)).orderBy(F.col("bad").desc(), "stem").limit(TERMS).collect()  # at most TERMS
-    most = max((r["n"] for r in kept), default=0)
-    good = sorted((r["stem"] for r in kept if r["n"] >= DIVERSE * r["bad"] or r["n"] >= FREQUENT * most), key=len)
+    kept = varied(counts.where((F.col("bad") >= LEAST_DOCS) & (F.col("bad") >= PRECISION * F.col("all"))), "stems")
+    good = sorted(sorted(r["stem"] for r in kept.select("stem").collect()), key=len)
     return [s for i, s in enumerate(good) if not any(s.startswith(o) for o in good[:i])]
 
 
