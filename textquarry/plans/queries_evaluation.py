@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.operators import evaluation, retrieval, stats
 
-from .queries import SEED, query, read, rounded
+from .queries import REGISTRY, SEED, query, read, rounded
 
 
 def collection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -27,12 +29,15 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.ranked(lexical(spark, sf_dir), 100, "bm25").unionAll(retrieval.ranked(overlap(spark, sf_dir), 100, "overlap"))
 
 
-def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grades by the part of a query's distinct terms that a document holds: 2 from 0.75, 1 from 0.5; only even ids are judged."""
+def qrels(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Grades by the part of a query's distinct terms that a document holds: 2 from 0.75, 1 from 0.5, unjudged below 0.2.
+
+    The queries ending in _whole judge all documents; the others, like their SQL, only those with even ids.
+    """
     docs, queries = collection(spark, sf_dir)
     q = retrieval.term_counts(queries, "qid").select("qid", "term")
     n = q.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-    d = retrieval.term_counts(docs.where("doc_id % 2 = 0"), "doc_id").select("doc_id", "term")
+    d = retrieval.term_counts(docs if whole else docs.where("doc_id % 2 = 0"), "doc_id").select("doc_id", "term")
     both = d.join(q, "term").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("k")).join(n, "qid")
     part = F.col("k") / F.col("n")
     return both.where(part >= 0.2).select("qid", "doc_id", F.when(part >= 0.75, 2).when(part >= 0.5, 1).otherwise(0).alias("grade"))
@@ -124,21 +129,21 @@ metrics AS (SELECT run, qid, CASE WHEN rel > 0 THEN round(d10 / i10, 6) END AS n
 
 
 @query(f"{METRICS} SELECT * FROM metrics")
-def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ranking_metrics(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Graded metrics of each query."""
-    return evaluation.metrics(runs(spark, sf_dir), qrels(spark, sf_dir))
+    return evaluation.metrics(runs(spark, sf_dir), qrels(spark, sf_dir, whole))
 
 
 @query(f"{METRICS} SELECT run, count(ndcg_10) AS queries, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(ap_100), 6) AS ap_100, round(avg(recall_50), 6) AS recall_50 FROM metrics GROUP BY run")
-def macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def macro_metrics(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Means over queries."""
-    return rounded(evaluation.macro_average(ranking_metrics(spark, sf_dir), ["ndcg_10", "ap_100", "recall_50"]))
+    return rounded(evaluation.macro_average(ranking_metrics(spark, sf_dir, whole), ["ndcg_10", "ap_100", "recall_50"]))
 
 
 @query(f"{BASE} SELECT run, count(grade) AS judged, count(*) AS shown, round(count(grade) / count(*), 6) AS coverage FROM r LEFT JOIN qrels USING (qid, doc_id) WHERE rank <= 50 GROUP BY run")
-def judged_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def judged_coverage(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """How much of each run is judged."""
-    return evaluation.coverage(runs(spark, sf_dir), qrels(spark, sf_dir), 50)
+    return evaluation.coverage(runs(spark, sf_dir), qrels(spark, sf_dir, whole), 50)
 
 
 @query(f"{BASE} SELECT DISTINCT qid, doc_id FROM r WHERE rank <= 50")
@@ -150,28 +155,28 @@ def judgement_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{BASE}, rel AS (SELECT qid, doc_id FROM qrels WHERE grade >= 1), h AS (SELECT rel.qid, rel.doc_id, bool_or(run = 'bm25') AS a, bool_or(run = 'overlap') AS b FROM rel LEFT JOIN (SELECT * FROM r WHERE rank <= 50) x USING (qid, doc_id) GROUP BY ALL),
 k AS (SELECT qid, count(*) AS relevant, count(*) FILTER (a AND NOT coalesce(b, false)) AS only_a, count(*) FILTER (b AND NOT coalesce(a, false)) AS only_b, count(*) FILTER (a AND b) AS overlap, count(*) FILTER (a OR b) AS found, count(*) FILTER (a) AS na, count(*) FILTER (b) AS nb FROM h GROUP BY qid)
 SELECT qid, relevant, only_a, only_b, overlap, found, CASE WHEN found > 0 THEN round(overlap / found, 6) END AS jaccard, round((found - overlap) / greatest(1, found), 6) AS set_change, round(found / relevant, 6) AS union_recall, round((found - greatest(na, nb)) / relevant, 6) AS headroom FROM k""")
-def set_complementarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+def set_complementarity(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """What each of two runs finds that the other doesn't."""
     both = runs(spark, sf_dir)
-    return evaluation.complementarity(both.where("run = 'bm25'"), both.where("run = 'overlap'"), qrels(spark, sf_dir))
+    return evaluation.complementarity(both.where("run = 'bm25'"), both.where("run = 'overlap'"), qrels(spark, sf_dir, whole))
 
 
 @query(f"{METRICS} SELECT a.qid, round(a.ndcg_10 - b.ndcg_10, 6) AS gain_overlap, round(a.ndcg_10 - b.ndcg_10, 6) AS gain_best, 'overlap' AS best FROM metrics a JOIN metrics b USING (qid) WHERE a.run = 'bm25' AND b.run = 'overlap'")
-def fusion_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fusion_gains(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Gains of a run over others."""
-    return evaluation.gains(ranking_metrics(spark, sf_dir), "ndcg_10", "bm25", ["overlap"])
+    return evaluation.gains(ranking_metrics(spark, sf_dir, whole), "ndcg_10", "bm25", ["overlap"])
 
 
 @query(f"{METRICS} SELECT run, round(avg(ndcg_10), 6) AS mean FROM metrics GROUP BY run ORDER BY mean DESC, run LIMIT 1")
-def best_setting(spark: SparkSession, sf_dir: str) -> DataFrame:
+def best_setting(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """The setting with the best mean."""
-    return rounded(evaluation.select_setting(ranking_metrics(spark, sf_dir), ["run"], "ndcg_10"))
+    return rounded(evaluation.select_setting(ranking_metrics(spark, sf_dir, whole), ["run"], "ndcg_10"))
 
 
 @query(f"{BASE} SELECT concat_ws(' ', qid, '0', doc_id, grade) AS value FROM qrels")
-def trec_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trec_qrels(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Judgements as lines of text."""
-    return retrieval.qrels_lines(qrels(spark, sf_dir))
+    return retrieval.qrels_lines(qrels(spark, sf_dir, whole))
 
 
 @query("""WITH p AS (SELECT quality AS a, 1 - toxic AS b FROM labels), c AS (SELECT a, b, count(*) AS c FROM p GROUP BY a, b), n AS (SELECT sum(c) AS n, sum(CASE WHEN a = b THEN c ELSE 0 END) AS same, sum(pow(a - b, 2) * c) AS seen FROM c),
@@ -203,23 +208,23 @@ HEX = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr({0
 DIFFS = f"{METRICS}, diffs AS (SELECT qid, round(a.ndcg_10 - b.ndcg_10, 6) AS diff FROM metrics a JOIN metrics b USING (qid) WHERE a.run = 'bm25' AND b.run = 'overlap' AND a.ndcg_10 IS NOT NULL)"
 
 
-def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion_gains(spark, sf_dir).select("qid", F.col("gain_overlap").alias("diff"))
+def diffs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return fusion_gains(spark, sf_dir, whole).select("qid", F.col("gain_overlap").alias("diff"))
 
 
 @query(f"""{DIFFS}, draws AS (SELECT r, round(sum(CASE WHEN substr(md5('{SEED}|' || r || '|' || qid), 1, 1) < '8' THEN diff ELSE -diff END), 9) AS s FROM diffs, range(1000) t(r) GROUP BY r), one AS (SELECT count(*) AS n, avg(diff) AS mean, round(abs(sum(diff)), 9) AS real FROM diffs)
 SELECT n, round(mean, 6) AS mean, round((count(*) FILTER (abs(s) >= real) + 1) / 1001, 6) AS p FROM draws, one GROUP BY n, mean""")
-def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+def permutation_test(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """A paired test over queries."""
-    return rounded(stats.permutation_test(diffs(spark, sf_dir), 1000, SEED))
+    return rounded(stats.permutation_test(diffs(spark, sf_dir, whole), 1000, SEED))
 
 
 @query(f"""{DIFFS}, known AS (SELECT row_number() OVER (ORDER BY qid) AS nth, diff AS v FROM diffs), one AS (SELECT count(*) AS n, avg(v) AS mean FROM known),
 picks AS (SELECT r, {HEX.format(f"md5('{SEED}|' || r || '|' || nth)", 8)} % n + 1 AS pick, n, mean FROM known, range(500) t(r), one), means AS (SELECT r, n, mean, avg(v) AS m FROM picks JOIN known ON known.nth = picks.pick GROUP BY ALL)
 SELECT n, round(mean, 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM means GROUP BY n, mean""")
-def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bootstrap_ci(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """An interval of the mean gain."""
-    return rounded(stats.bootstrap_interval(diffs(spark, sf_dir), 500, SEED))
+    return rounded(stats.bootstrap_interval(diffs(spark, sf_dir, whole), 500, SEED))
 
 
 @query("""WITH w AS (SELECT n_chars AS x, len(regexp_extract_all(text, '\\S+')) AS y FROM documents), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM w)
@@ -248,3 +253,15 @@ def dev_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stratified split of the queries."""
     q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), (F.length("text") > 200).alias("long"))
     return stats.stratified_split(q, ["long"], "qid", 1, 3, SEED).select("qid", "part")
+
+
+def over_all_documents(f) -> None:
+    """Registers NAME_whole: the query with all documents judged, and its SQL without the part that leaves out odd ids."""
+    sql = REGISTRY[f.__name__][1]
+    halved = " WHERE doc_id % 2 = 0 GROUP BY"
+    assert sql.count(halved) == 1
+    REGISTRY[f"{f.__name__}_whole"] = (partial(f, whole=True), sql.replace(halved, " GROUP BY"))
+
+
+for judged in (ranking_metrics, macro_metrics, judged_coverage, set_complementarity, fusion_gains, best_setting, trec_qrels, permutation_test, bootstrap_ci):
+    over_all_documents(judged)
