@@ -8,9 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from textquarry.operators import retrieval
 from test_queries import DIR, TABLES, canonical
 
-WHOLE = [q for q in entry.queries() if q.endswith("_whole")]
+WHOLE = ["term_statistics", *(q for q in entry.queries() if q.endswith("_whole"))]
 
 
 @pytest.fixture
@@ -30,6 +31,17 @@ def test_all_documents_are_judged(spark, small):
     assert {r["recall_50"] for r in entry.queries()["ranking_metrics_whole"](spark, small).collect()} == {1.0}
 
 
+def test_statistics_of_all_terms(spark, small):
+    import math
+
+    got = {r["term"]: r for r in entry.queries()["term_statistics"](spark, small).collect()}
+    df = {"red": 4, "fox": 4, "over": 4, "the": 3, "lazy": 2, "dog": 2, "cat": 1, "nothing": 1, "here": 1}
+    assert {t: r["df"] for t, r in got.items()} == df
+    assert all(r["idf"] == round(math.log(1 + (6 - df[t] + 0.5) / (df[t] + 0.5)), 6) and (r["n"], r["avgdl"], r["rare"]) == (6, round(22 / 6, 6), False) for t, r in got.items())
+    docs = spark.createDataFrame([(i, "common once" if i == 0 else "common twice" if i < 3 else "common") for i in range(1000)], "doc_id long, text string")
+    assert {r["term"]: r["rare"] for r in retrieval.term_statistics(docs).collect()} == {"common": False, "once": True, "twice": False}
+
+
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 @pytest.mark.parametrize("name", WHOLE)
 def test_whole_query(spark, name):

@@ -67,6 +67,13 @@ def df_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(retrieval.document_frequencies(retrieval.term_counts(docs, "doc_id"), docs.count()).where("df >= 5"))
 
 
+@query(f"{BASE} SELECT term, df, round(idf, 6) AS idf, df <= 0.001::DOUBLE * n AS rare, n, round(avgdl, 6) AS avgdl FROM idf, size")
+def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequencies of all terms, whether a term is rare, and N and avgdl of the collection."""
+    docs, _ = collection(spark, sf_dir)
+    return rounded(retrieval.term_statistics(docs))
+
+
 @query(f"{BASE} SELECT qid, doc_id, score, rank FROM r WHERE run = 'bm25' AND rank <= 10")
 def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of each query."""
