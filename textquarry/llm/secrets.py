@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other candidate and its context.
 
-The patterns find the base spans, which always stay. Every other run of 16 or more key-like characters with a letter
-and a digit is a candidate; a small network sees it with the text around it and may add it as kind `learned`. The network is
-trained on labelled findings: candidates and long words from a bounded sample of documents, labelled by whether a
+The patterns find the base spans, which always stay. Every other run of 12 or more characters that a pattern's value may have
+is a candidate, also one that reaches beyond a base span; a small network sees it with the text around it, long values by
+overlapping windows whose features are pooled, and may add it as kind `learned`. The network is
+trained on labelled findings: candidates from a bounded sample of documents, labelled by whether a
 pattern found them, half of them with their context blanked so that the shape of the value counts too. Its outputs are
-calibrated on findings held out from training, and the threshold is the highest one that still recalls RECALL of them.
+calibrated on findings held out from training, and the threshold is the highest one that still recalls RECALL of them, also where that is a low one; recall and precision on them are kept.
 
 Null and empty texts have no spans. Places are code points, ends exclusive. Rows are scanned one by one, so repeated rows repeat their
 result; an empty table gives an empty result; without findings to learn from nothing is added.
@@ -30,17 +31,19 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: A run is maximal, so asking for its least length at once finds the same runs as finding all and dropping the short ones.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-HAS_DIGIT, HAS_LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 ASSIGN_LEAST = 12
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 
-#: What the network sees: context before, the head and the tail of the value, context after.
+#: What the network sees: context before, HEAD + TAIL characters of the value, context after; longer values by windows that overlap by half.
 BEFORE, HEAD, TAIL, AFTER = 24, 32, 12, 12
 SHAPE = Shape(symbols=129, width=5, stride=1, dim=8, filters=16)
 EPOCHS, SEED, RECALL = 6, 11, 0.98
 #: Documents and findings learned from, at most (documents: on average).
 SAMPLE_DOCS, SAMPLE_FINDINGS = 20_000, 4000
 
+#: Windows and values scored at once.
+BLOCK = 4096
+
 Span = tuple[int, int, int]  # start, kind, end
 
 
@@ -56,56 +59,70 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-def candidates(text: str, found: list[Span], words: bool = False) -> list[tuple[int, int]]:
-    """Runs that no base span touches; words: also those without a digit."""
+def candidates(text: str, found: list[Span], apart: bool = False) -> list[tuple[int, int]]:
+    """Runs that no base span holds whole; apart: that none touches."""
     out = []
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        run = m.group()
-        if (words or HAS_DIGIT.search(run)) and HAS_LETTER.search(run) and not any(s < b and a < e for s, _, e in found):
+        if not any(s < b and a < e if apart else s <= a and b <= e for s, _, e in found):
             out.append((a, b))
     return out
 
 
-def codes(text: str, a: int, b: int, blank: bool = False) -> np.ndarray:
+def codes(text: str, a: int, b: int) -> np.ndarray:
     """The characters that the network sees, as codes: ASCII, 127 for others, 128 for none."""
 
     def fixed(part: str, size: int, right: bool = False) -> str:
         return part.rjust(size, "\x80") if right else part.ljust(size, "\x80")
 
-    before, after = ("", "") if blank else (text[max(0, a - BEFORE) : a], text[b : b + AFTER])
+    before, after = text[max(0, a - BEFORE) : a], text[b : b + AFTER]
     value = text[a:b]
     seen = fixed(before, BEFORE, True) + fixed(value[:HEAD], HEAD) + fixed(value[HEAD:][-TAIL:], TAIL) + fixed(after, AFTER)
     points = np.frombuffer(seen.encode("utf-32-le", "replace"), np.uint32)
     return np.where(points == 0x80, 128, np.minimum(points, 127)).astype(np.int16)
 
 
+def windows(text: str, a: int, b: int, blank: bool = False) -> np.ndarray:
+    """(n, characters) codes that together show every character of the value."""
+    if blank:
+        text, a, b = text[a:b], 0, b - a
+    size = HEAD + TAIL
+    starts = [*range(a, b - size, size // 2), max(a, b - size)]
+    return np.stack([codes(text, s, min(b, s + size)) for s in starts])
+
+
 def findings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Labelled findings: (draw, mark, codes) of pattern values and of other candidates and long words."""
+    """Labelled findings: (draw, mark, codes) of pattern values and of candidates apart from them."""
     for rows in batches:
         out = []
         for text in rows["text"]:
             text = text or ""
             found = base_spans(text)
             marked = [((m.span(2) if (m := ASSIGN.match(text, s)) and k == 0 else (s, e)), 1) for s, k, e in found]
-            for n, ((a, b), mark) in enumerate(marked + [(c, 0) for c in candidates(text, found, words=True)]):
-                seen = codes(text, a, b, blank=n % 2 == 1).tobytes()
+            for n, ((a, b), mark) in enumerate(marked + [(c, 0) for c in candidates(text, found, apart=True)]):
+                seen = windows(text, a, b, blank=n % 2 == 1).tobytes()
                 out.append((hashlib.md5(seen).hexdigest(), mark, seen))
         yield pd.DataFrame(out, columns=["draw", "mark", "codes"])
 
 
 class Detector:
-    """The network, its calibration (scale, shift) and the threshold on calibrated scores."""
+    """The network, its calibration (scale, shift), the threshold on calibrated scores, and recall and precision on held findings."""
+
+    recall = precision = float("nan")
 
     def __init__(self, net: Net | None, scale: float = 1.0, shift: float = 0.0, threshold: float = 2.0):
         self.net, self.scale, self.shift, self.threshold = net, scale, shift, threshold
 
-    def raw(self, x: np.ndarray) -> np.ndarray:
-        top = self.net.pooled(x)
-        p = np.clip(self.net.combine(top, top), 1e-9, 1 - 1e-9)
+    def raw(self, values: list[np.ndarray]) -> np.ndarray:
+        """values: the windows of each."""
+        n = np.array([len(v) for v in values])
+        every = np.concatenate(values)
+        top = np.concatenate([self.net.pooled(every[k : k + BLOCK]) for k in range(0, len(every), BLOCK)])
+        starts = np.cumsum(n) - n
+        p = np.clip(self.net.combine(np.add.reduceat(top, starts) / n[:, None], np.maximum.reduceat(top, starts)), 1e-9, 1 - 1e-9)
         return np.log(p / (1 - p))
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def score(self, x: list[np.ndarray]) -> np.ndarray:
         return sigmoid(self.scale * self.raw(x) + self.shift)
 
 
@@ -119,19 +136,27 @@ def fit_detector(docs: DataFrame) -> Detector:
     rows = rows.sort_values(["draw", "mark"])
     if rows["mark"].nunique() < 2:
         return Detector(None)
-    x = np.stack([np.frombuffer(c, np.int16) for c in rows["codes"]])
+    x = [np.frombuffer(c, np.int16).reshape(-1, BEFORE + HEAD + TAIL + AFTER) for c in rows["codes"]]
     y = rows["mark"].to_numpy(np.float32)
     held = np.arange(len(x)) % 4 == 3
     if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
         return Detector(None)
-    detector = Detector(learn(SHAPE, [c[None] for c in x[~held]], y[~held], EPOCHS, SEED))
-    raw = detector.raw(x[held])
-    detector.scale, detector.shift = calibrated(raw, y[held])
-    good = np.sort(detector.score(x[held])[y[held] == 1])
-    detector.threshold = max(0.5, float(good[int(np.floor((1 - RECALL) * len(good)))]))
+    mine, kept, y_kept = [c for c, h in zip(x, held, strict=True) if not h], [c for c, h in zip(x, held, strict=True) if h], y[held]
+    detector = Detector(learn(SHAPE, mine, y[~held], EPOCHS, SEED))
+    detector.scale, detector.shift = calibrated(detector.raw(kept), y_kept)
+    p = detector.score(kept)
+    settle_threshold(detector, p, y_kept)
     return detector
 
 
+def settle_threshold(detector: Detector, p: np.ndarray, y: np.ndarray) -> None:
+    """The highest threshold that recalls RECALL of the held findings, and what it gives on them."""
+    good = np.sort(p[y == 1])
+    detector.threshold = float(good[int(np.floor((1 - RECALL) * len(good)))])
+    said = p >= detector.threshold
+    detector.recall, detector.precision = float(said[y == 1].mean()), float(y[said].mean())
+
+
 def calibrated(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Platt's scaling by Newton steps, with his smoothed targets."""
     n1 = y.sum()
@@ -150,9 +175,9 @@ def scanned(texts, detector: Detector) -> list[tuple[list[Span], list[Span]]]:
     every = [list(f) for f in found]
     if detector.net is not None:
         asked = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t or "", found[i])]
-        for k in range(0, len(asked), 4096):
-            part = asked[k : k + 4096]
-            for (i, a, b), p in zip(part, detector.score(np.stack([codes(texts[i], a, b) for i, a, b in part])), strict=True):
+        for k in range(0, len(asked), BLOCK):
+            part = asked[k : k + BLOCK]
+            for (i, a, b), p in zip(part, detector.score([windows(texts[i], a, b) for i, a, b in part]), strict=True):
                 if p >= detector.threshold:
                     every[i].append((a, 3, b))
     return [(f, sorted(e)) for f, e in zip(found, every, strict=True)]
