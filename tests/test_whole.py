@@ -42,6 +42,13 @@ def test_statistics_of_all_terms(spark, small):
     assert {r["term"]: r["rare"] for r in retrieval.term_statistics(docs).collect()} == {"common": False, "once": True, "twice": False}
 
 
+def test_rounds_and_grid(spark, small):
+    assert {r["alpha"] for r in entry.queries()["convex_fusion_whole"](spark, small).collect()} == {n / 20 for n in range(1, 20)}
+    p = entry.queries()["permutation_test_whole"](spark, small).first()["p"]
+    assert p == 1.0 or abs(p * 10_001 - round(p * 10_001)) < 0.01
+    assert "range(10000)" in entry.oracle_sql()["permutation_test_whole"] and "range(10000)" in entry.oracle_sql()["bootstrap_ci_whole"]
+
+
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 @pytest.mark.parametrize("name", WHOLE)
 def test_whole_query(spark, name):

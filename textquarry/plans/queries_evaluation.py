@@ -43,6 +43,8 @@ def qrels(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     return both.where(part >= 0.2).select("qid", "doc_id", F.when(part >= 0.75, 2).when(part >= 0.5, 1).otherwise(0).alias("grade"))
 
 
+#: Permutations and resamples, and weights of the dense score, of the queries ending in _whole.
+ROUNDS, GRID = 10_000, [n / 20 for n in range(1, 20)]
 TERMS = r"regexp_extract_all(replace(lower(trim(regexp_replace(nfc_normalize({}), '\s+', ' ', 'g'))), 'ß', 'ss'), '[\p{{L}}\p{{Nd}}]+')"
 BASE = f"""
 dt AS (SELECT doc_id, {TERMS.format('text')} AS t FROM documents),
@@ -116,11 +118,11 @@ fused AS (SELECT alpha, qid, doc_id, round(alpha * coalesce(d, 0) + (1 - alpha)
 
 
 @query(f"{FUSED} SELECT alpha, qid, doc_id, score FROM fused")
-def convex_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+def convex_fusion(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Weighted fusion of normalised scores over the union of two runs."""
     a, b = lexical(spark, sf_dir), overlap(spark, sf_dir)
     union = retrieval.candidate_union(retrieval.ranked(a, 100, "a"), retrieval.ranked(b, 100, "b"), a, b)
-    return retrieval.convex_fusion(union, [0.25, 0.5, 0.75])
+    return retrieval.convex_fusion(union, GRID if whole else [0.25, 0.5, 0.75])
 
 
 METRICS = f"""{BASE},
@@ -223,7 +225,7 @@ def diffs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
 SELECT n, round(mean, 6) AS mean, round((count(*) FILTER (abs(s) >= real) + 1) / 1001, 6) AS p FROM draws, one GROUP BY n, mean""")
 def permutation_test(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """A paired test over queries."""
-    return rounded(stats.permutation_test(diffs(spark, sf_dir, whole), 1000, SEED))
+    return rounded(stats.permutation_test(diffs(spark, sf_dir, whole), ROUNDS if whole else 1000, SEED))
 
 
 @query(f"""{DIFFS}, known AS (SELECT row_number() OVER (ORDER BY qid) AS nth, diff AS v FROM diffs), one AS (SELECT count(*) AS n, avg(v) AS mean FROM known),
@@ -231,7 +233,7 @@ picks AS (SELECT r, {HEX.format(f"md5('{SEED}|' || r || '|' || nth)", 8)} % n +
 SELECT n, round(mean, 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM means GROUP BY n, mean""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """An interval of the mean gain."""
-    return rounded(stats.bootstrap_interval(diffs(spark, sf_dir, whole), 500, SEED))
+    return rounded(stats.bootstrap_interval(diffs(spark, sf_dir, whole), ROUNDS if whole else 500, SEED))
 
 
 @query("""WITH w AS (SELECT n_chars AS x, len(regexp_extract_all(text, '\\S+')) AS y FROM documents), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM w)
@@ -262,13 +264,17 @@ def dev_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.stratified_split(q, ["long"], "qid", 1, 3, SEED).select("qid", "part")
 
 
-def over_all_documents(f) -> None:
-    """Registers NAME_whole: the query with all documents judged, and its SQL without the part that leaves out odd ids."""
+def over_all_documents(f, *others: tuple[str, str]) -> None:
+    """Registers NAME_whole: the query with all documents judged, and its SQL without the part that leaves out odd ids; others: (small, whole) parts of the SQL."""
     sql = REGISTRY[f.__name__][1]
-    halved = " WHERE doc_id % 2 = 0 GROUP BY"
-    assert sql.count(halved) == 1
-    REGISTRY[f"{f.__name__}_whole"] = (partial(f, whole=True), sql.replace(halved, " GROUP BY"))
+    for small, whole in ((" WHERE doc_id % 2 = 0 GROUP BY", " GROUP BY"), *others):
+        assert sql.count(small) == 1
+        sql = sql.replace(small, whole)
+    REGISTRY[f"{f.__name__}_whole"] = (partial(f, whole=True), sql)
 
 
-for judged in (ranking_metrics, macro_metrics, judged_coverage, set_complementarity, fusion_gains, best_setting, trec_qrels, permutation_test, bootstrap_ci):
+for judged in (ranking_metrics, macro_metrics, judged_coverage, set_complementarity, fusion_gains, best_setting, trec_qrels):
     over_all_documents(judged)
+over_all_documents(permutation_test, ("range(1000)", f"range({ROUNDS})"), ("/ 1001,", f"/ {ROUNDS + 1},"))
+over_all_documents(bootstrap_ci, ("range(500)", f"range({ROUNDS})"))
+over_all_documents(convex_fusion, ("(0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)", ", ".join(f"({a}::DOUBLE)" for a in GRID)))
