@@ -31,3 +31,10 @@ def test_stages(spark):
     assert {"start", "n_tokens", "ids_crc32"} <= set(docs.columns)
     total = docs.selectExpr("max(start + n_tokens) as e", "sum(n_tokens) as n").first()
     assert total["e"] == total["n"]
+
+
+def test_short_items_count_in_the_leak_stage(spark, tmp_path):
+    rows = [(0, "who wrote the tale of two towns", "en", "s", 1)]
+    spark.createDataFrame(rows, "item_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, "asked: Who wrote the tale of two towns? nobody knew"), (2, "who wrote the tale of two cities"), (3, None)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()) == [2, 3]
