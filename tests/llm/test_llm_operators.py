@@ -25,39 +25,67 @@ def got(df, *columns):
 # ---- 1
 
 
-def brute_components(rows, width, similar):
-    """(doc, shingles, component) with rows of one id as one node."""
+def brute_groups(rows, width, similar):
+    """The set of each row, and the least row of its group."""
     sets = []
-    for doc, text, *_ in rows:
+    for _, text, *_ in rows:
         w = WORD.findall((text or "").translate(LOWER))
-        sets.append((doc, frozenset([tuple(w)] if 0 < len(w) < width else (tuple(w[i : i + width]) for i in range(len(w) - width + 1))) if w else frozenset()))
-    parent = {d: d for d, _ in sets}
+        sets.append(frozenset([tuple(w)] if 0 < len(w) < width else (tuple(w[i : i + width]) for i in range(len(w) - width + 1))) if w else frozenset())
+    parent = list(range(len(rows)))
 
     def top(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    def low(d):
-        return -(2**63) if d is None else d
-
-    for i, (a, x) in enumerate(sets):
-        for b, y in sets[:i]:
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
             k = len(x & y)
-            if x and y and 100 * k >= similar * (len(x) + len(y) - k) and top(a) != top(b):
-                p, q = sorted((top(a), top(b)), key=low)
-                parent[q] = p
-    return collections.Counter((d, len(s), top(d), top(d) == d) for d, s in sets)
+            if x and y and 100 * k >= similar * (len(x) + len(y) - k) and top(i) != top(j):
+                parent[max(top(i), top(j))] = min(top(i), top(j))
+    return sets, [top(i) for i in range(len(rows))]
+
+
+def brute_components(rows, width, similar):
+    """(doc, shingles, component, kept); each row is a document of its own, ids or not."""
+    sets, tops = brute_groups(rows, width, similar)
+    least = {t: min((rows[i][0] for i, u in enumerate(tops) if u == t and rows[i][0] is not None), default=None) for t in tops}
+    return collections.Counter((r[0], len(s), least[t], r[0] == least[t]) for r, s, t in zip(rows, sets, tops, strict=True))
 
 
 @pytest.mark.parametrize("width", [2, 5])
-def test_near_duplicates(docs, rows, nothing, width):
+def test_near_duplicates(spark, docs, rows, nothing, width):
     found = neardup.near_duplicates(docs, width, 80)
     assert got(found, "doc_id", "n_shingles", "component_id", "kept") == brute_components(rows, width, 80)
     assert neardup.near_duplicates(nothing).count() == 0
     left = neardup.drop_near_duplicates(docs, width)
-    gone = {d for (d, _, _, kept) in brute_components(rows, width, 80) if not kept and d is not None}
-    assert got(left, "doc_id") == collections.Counter((r[0],) for r in rows if r[0] not in gone) and left.columns == docs.columns
+    _, tops = brute_groups(rows, width, 80)
+    want = collections.Counter((min((rows[i][0] for i, u in enumerate(tops) if u == t and rows[i][0] is not None), default=None),) for t in set(tops))
+    assert got(left, "doc_id") == want and left.columns == docs.columns
+    assert neardup.drop_near_duplicates(nothing).columns == nothing.columns
+
+
+def test_rows_without_or_with_one_id_are_linked_by_similarity_alone(spark):
+    made = [(None, "alpha beta gamma delta"), (None, "one two three four"), (1, "alpha beta gamma delta"), (7, "five six seven"), (7, "eight nine ten"), (9, "eight nine ten"), (3, "five six seven")]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    assert got(neardup.near_duplicates(df, 2, 80), "doc_id", "component_id", "kept") == collections.Counter([(None, 1, False), (1, 1, True), (None, None, True), (7, 3, False), (3, 3, True), (7, 7, True), (9, 7, False)])
+
+
+def test_hot_shingle_and_many_copies(spark):
+    """A pair of words that all texts share, a fifth of all rows copies edited apart, no original among them."""
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    made = []
+    for i in range(400):
+        if i % 5 == 0:
+            t = list(base)
+            for j in r.sample(range(120), r.choice([2, 4, 6, 9, 12, 20])):
+                t[j] = r.choice(["of", "the", f"x{r.random()}"])
+        else:
+            t = [r.choice(["of", "the", "and", f"v{r.randrange(60)}"]) for _ in range(r.randrange(3, 60))]
+        made.append((1000 - i, " ".join([*t, "hot", "pair"])))
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(5)
+    assert got(neardup.near_duplicates(df, 2, 80), "doc_id", "n_shingles", "component_id", "kept") == brute_components(made, 2, 80)
 
 
 def test_star_of_edited_copies(spark):

@@ -1,11 +1,14 @@
-"""Connected components by alternating large-star and small-star steps, with each step's edges in the shared folder."""
+"""Connected components by alternating large-star and small-star steps, with each step's edges in the shared folder.
+
+A node's least neighbour is a sum with a map-side part, joined back to its edges: a node with very many edges is split by that join.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import discard, settle
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -14,8 +17,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
-    near = both.withColumn("m", least)
+    near = both.join(both.groupBy("u").agg(F.min("v").alias("m")), "u").withColumn("m", F.least("u", "m"))
     if large:
         out = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -31,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
         sums = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if sums == seen:
             break
-        seen = sums
-        edges = settle(_star(_star(edges, True), False), "edges")
+        seen, before = sums, edges
+        edges = settle(_star(settle(_star(edges, True), "edges"), False), "edges")
+        discard(before)
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

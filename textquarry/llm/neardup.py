@@ -1,49 +1,56 @@
 """MinHash near-duplicates: bottom-k sketches, inverted lists, union-sketch estimates, exact Jaccard.
 
-One hash function gives every shingle a value. The values of a set A are ordered by how common the shingle can be at most
-(the logarithm of the count of its rarest word, from a table over all documents), then by hash. A retains its first
-|A| - ceil(t * |A|) + 1 values: under any common order two sets of similarity t or more share one of theirs, so the
-inverted lists of retained values lose no pair. Ordering by rarity only keeps these lists short.
-
-Equal sets become one node first. Every node is then paired with the hubs of its lists (nodes with the fewest values of their
-own, such as the original of many edited copies), then with neighbours by size, and verified pairs merge into components.
-Lists that still hold different components give every pair that passes the bounds: short ones at once; the nodes of longer ones are
-indexed once more by their full sets, ordered by exact counts among them, and give the pairs of that index. (A pair is
-found where its first common value is: in a short list, or in a long one, and then both its nodes are in the second index.) A candidate pair must pass bounds from the sizes and from the places of the common value, and an estimate from the
-bottom SKETCH values of the union of two uniform sketches, set so low (SLACK standard deviations) that no similar pair fails;
-then both full sets are compared.
-
-Null, empty and blank texts have no shingles and are linked with nothing. Fewer words than a shingle has make one shingle.
-Rows with one doc_id count as one document that has all their sets; null ids count as one document. Very long texts
-are hashed in blocks. An empty table gives an empty result. Only doc_id and text are read.
+One hash function gives every shingle a value. The values of a set A are ordered by how many sets hold them, then by the value,
+and A retains its first |A| - ceil(t * |A|) + 1: under any common order two sets of similarity t or more share one of
+theirs, so the inverted lists of retained values lose no pair, and ordering by counts keeps them short.
+
+1. Equal sets become one node. Counts come from blocks of texts: each sends its sorted values to the ranges they lie in, and
+   a range tells every block which of them stand nowhere else. A node whose retained values all do is done; the others, the
+   open nodes, are counted again among themselves, which gives order and lists.
+2. In every list the node with the fewest values of its own (such as the original of many edited copies) is the hub, and each
+   node is compared with the hub that it meets most. Verified pairs merge into components, and lists within one are done.
+3. Lists that still hold different components give the pairs that pass the bounds from sizes and places: what precedes the common
+   value is in one set only. Values of its own come first in a node's order, so copies edited beyond the similarity are dropped
+   from a list before pairs are made, however many there are.
+
+A candidate pair must pass an estimate from the bottom SKETCH values of the union of two uniform sketches, then both full sets
+are compared. The estimate may fall SLACK standard deviations short: a pair of similarity t = 0.8 fails it with
+odds of 1e-11 (a binomial tail), one above t with less. Values are 64-bit hashes of shingles: a set of 10,000 holds two equal ones with odds of 3e-12.
+Counts use the top bits of values, so that two values in 16,000 may be taken for one; that only makes lists longer.
+
+Null, empty and blank texts have no shingles and are linked with nothing. Fewer words than a shingle has make one shingle. Each row
+is a document of its own: rows with equal sets are linked whatever their ids, others that share an id or have none
+aren't linked by that. A component's id is its smallest doc_id, null if none has one. Very long texts are hashed in pieces. An
+empty table gives an empty result. Only doc_id and text are read; other columns pass through drop_near_duplicates.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import settle, table, whole_text
+from .shared import discard, settle, table
 
 #: Default shingle and similarity (in hundredths) of near-duplicate stages.
 WIDTH, SIMILAR = 5, 80
 #: Values in the uniform sketch; the estimate may fall short by so many standard deviations.
-SKETCH, SLACK = 32, 6
-#: Inverted lists up to this long give their pairs at once; nodes of longer ones are indexed again first.
-SHORT_LIST = 12
-#: Buckets of the table of word counts: its size does not depend on the corpus.
-COUNT_BITS, SLICES = 20, 64
+SKETCH, SLACK = 64, 7
+#: Rounds of comparing with hubs before lists give their pairs.
+HUB_ROUNDS = 2
+#: Texts in a block: 2 to this power. Values that a range of values has on average.
+BLOCK_BITS, RANGE_VALUES = 9, 2_000_000
+#: Bits of a value beyond the logarithm of how many there are.
+MORE_BITS = 14
 #: Bytes hashed at once.
 BLOCK = 1 << 20
-CLASS_SHIFT = np.uint64(58)
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
@@ -117,8 +124,8 @@ def words_of(texts: list[str | None]) -> Iterator[np.ndarray]:
     yield from flush()
 
 
-def shingle_values(words: np.ndarray, width: int, classes: np.ndarray | None = None) -> np.ndarray:
-    """The distinct shingles in order: class of the rarest word in the top six bits, then the hash."""
+def shingle_values(words: np.ndarray, width: int) -> np.ndarray:
+    """The distinct shingles of a text's words, ascending."""
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
@@ -126,82 +133,160 @@ def shingle_values(words: np.ndarray, width: int, classes: np.ndarray | None = N
     h = np.full(n - k + 1, _SALT * np.uint64(k) if k < width else np.uint64(0), np.uint64)
     for j in range(k):
         h = h * _JOIN + words[j : n - k + 1 + j]
-    h = _mix(h) & np.uint64((1 << 58) - 1)
-    if classes is not None:
-        c = classes[(words >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
-        least = c[: n - k + 1]
-        for j in range(1, k):
-            least = np.minimum(least, c[j : n - k + 1 + j])
-        h |= least.astype(np.uint64) << CLASS_SHIFT
-    return np.unique(h)
+    return np.unique(_mix(h))
 
 
-def retained(size: int, similar: int) -> int:
-    return size - -(-similar * size // 100) + 1 if size else 0
+def retained(size: str, similar: int) -> str:
+    """SQL: how many values a set of this size retains."""
+    return f"{size} - ({similar} * {size} + 99) div 100 + 1"
 
 
-def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts = np.zeros(1 << COUNT_BITS, np.int64)
-    for rows in batches:
-        held: list[np.ndarray] = []
-        for words in [*words_of(rows["text"].tolist()), None]:
-            if words is None or len(held) >= 2000:
-                counts += np.bincount((np.concatenate([*held, np.empty(0, np.uint64)]) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts))
-                held.clear()
-            if words is not None:
-                held.append(words)
-    press = zstandard.ZstdCompressor()
-    yield pd.DataFrame({"slice": range(SLICES), "counts": [press.compress(part.tobytes()) for part in np.split(counts, SLICES)]})
+def measure(width: int):
+    """A column function: the size of a text's set, and its digest."""
+
+    @F.pandas_udf("n long, digest binary")
+    def sets(texts: pd.Series) -> pd.DataFrame:
+        out = [(len(v), hashlib.blake2b(v.tobytes(), digest_size=16).digest()) for v in (shingle_values(w, width) for w in words_of(texts.tolist()))]
+        return pd.DataFrame(out, columns=["n", "digest"])
+
+    return sets
+
+
+def bottom(width: int):
+    """A column function: the uniform sketch."""
+
+    @F.pandas_udf("array<long>")
+    def sketch(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_values(w, width)[:SKETCH].view(np.int64) for w in words_of(texts.tolist())])
+
+    return sketch
+
+
+def packed(values: np.ndarray, places: np.ndarray, *more: np.ndarray) -> bytes:
+    """Ascending values as differences, with 16-bit arrays beside them, byte by byte so that equal high bytes compress."""
+    planes = [np.ascontiguousarray(np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)]
+    planes += [np.ascontiguousarray(x.astype(np.uint16).view(np.uint8).reshape(-1, 2).T) for x in (places, *more)]
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", len(values)) + b"".join(p.tobytes() for p in planes))
+
+
+def unpacked(body: bytes) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(body)
+    n = struct.unpack_from("<I", data)[0]
+    planes = np.frombuffer(data, np.uint8, offset=4).reshape(-1, n) if n else np.empty((8, 0), np.uint8)
+    out = [np.cumsum(np.ascontiguousarray(planes[:8].T).view(np.uint64).ravel(), dtype=np.uint64)]
+    return out + [np.ascontiguousarray(planes[k : k + 2].T).view(np.uint16).ravel() for k in range(8, len(planes), 2)]
 
 
-def add_counts(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(zstandard.ZstdDecompressor().decompress(c), np.int64) for c in rows["counts"])
-    return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "classes": [np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint8).tobytes()]})
+#: The place of a value that several texts of one block hold.
+SEVERAL = 1 << BLOCK_BITS
 
 
-def word_classes(docs: DataFrame) -> np.ndarray:
-    """The logarithm of the count of each bucket of words, over all documents."""
-    sums = docs.select("text").mapInPandas(count_words, "slice int, counts binary").groupBy("slice").applyInPandas(add_counts, "slice int, classes binary")
-    got = {r["slice"]: r["classes"] for r in sums.collect()}  # SLICES rows, a megabyte in all
-    empty = bytes((1 << COUNT_BITS) // SLICES)
-    return np.frombuffer(b"".join(got.get(i, empty) for i in range(SLICES)), np.uint8)
+def spreader(width: int, bits: int, ranges: int, every: bool):
+    """(part, block, body): the values of each block of texts by range; every: for each text that holds them, else once a block."""
 
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block: int | None = None
+        held: list[np.ndarray] = []
+        places: list[int] = []
+
+        def flush() -> pd.DataFrame:
+            values = np.concatenate(held) >> np.uint64(64 - bits)
+            place = np.repeat(np.array(places, np.int64), [len(v) for v in held])
+            order = np.argsort(values, kind="stable")
+            values, place = values[order], place[order]
+            if not every:
+                first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+                single = np.diff(np.r_[first, len(values)]) == 1
+                values, place = values[first], np.where(single, place[first], SEVERAL)
+            part = (values * np.uint64(ranges)) >> np.uint64(bits)
+            parts, first = np.unique(part, return_index=True)
+            last = np.r_[first[1:], len(part)]
+            out = [(int(p), block, packed(values[a:b], place[a:b])) for p, a, b in zip(parts, first, last, strict=True)]
+            held.clear()
+            places.clear()
+            return pd.DataFrame(out, columns=["part", "block", "body"])
 
-def sketcher(classes: np.ndarray, width: int, similar: int):
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        low = np.uint64((1 << 58) - 1)
         for rows in batches:
-            out = []
-            for doc, words in zip(rows["doc"], words_of(rows["text"].tolist()), strict=True):
-                values = shingle_values(words, width, classes)
-                kept = values[: retained(len(values), similar)]
-                bottom = np.sort(values & low)[:SKETCH]
-                out.append((doc, len(values), hashlib.blake2b(values.tobytes(), digest_size=16).digest(), kept.view(np.int64), bottom.view(np.int64)))
-            yield pd.DataFrame(out, columns=["doc", "n", "digest", "kept", "bottom"])
+            for nth, words in zip(rows["nth"].tolist(), words_of(rows["text"].tolist()), strict=True):
+                if nth >> BLOCK_BITS != block and held:
+                    yield flush()
+                block = nth >> BLOCK_BITS
+                values = shingle_values(words, width)
+                if len(values):
+                    held.append(values)
+                    places.append(nth & (SEVERAL - 1))
+        if held:
+            yield flush()
 
-    return sketch
+    return spread
 
 
-def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    press = zstandard.ZstdCompressor(level=3)
-    for rows in batches:
-        yield pd.DataFrame({"node": rows["node"], "body": [press.compress(t.encode("utf-8", "replace")) for t in rows["text"]]})
+def counted(rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(block, values, places, how many hold each) for every block of a range."""
+    bodies = [unpacked(b) for b in rows["body"]]
+    every = np.concatenate([v for v, _ in bodies])
+    _, group, times = np.unique(every, return_inverse=True, return_counts=True)
+    times, a = times[group], 0
+    for block, (values, places) in zip(rows["block"], bodies, strict=True):
+        yield block, values, places, times[a : a + len(values)]
+        a += len(values)
 
 
-def verifier(width: int, similar: int):
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_ = zstandard.ZstdDecompressor()
+def whole_part(batches: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
+    parts = [rows for rows in batches if len(rows)]
+    return pd.concat(parts, ignore_index=True) if parts else None
+
+
+def singles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(block, body): the places of the block's texts that hold a value alone, one for each such value."""
+    if (rows := whole_part(batches)) is not None:
+        out = [(block, zstandard.ZstdCompressor(level=1).compress(np.sort(places[(times == 1) & (places < SEVERAL)]).tobytes())) for block, _, places, times in counted(rows)]
+        yield pd.DataFrame(out, columns=["block", "body"])
+
+
+def shared_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(block, body): values that several texts hold, the places of the block's texts, the counts (up to 65,535, as the order asks for no more)."""
+    if (rows := whole_part(batches)) is not None:
+        out = [(block, packed(values[several], places[several], np.minimum(times[several], 65_535))) for block, values, places, times in counted(rows) if (several := times > 1).any()]
+        yield pd.DataFrame(out, columns=["block", "body"])
+
+
+def own_counts(rows: pd.DataFrame) -> pd.DataFrame:
+    """(nth, own): how many values each text of a block holds alone."""
+    places = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint16) for b in rows["body"]])
+    own = np.bincount(places, minlength=SEVERAL)
+    at = np.flatnonzero(own)
+    return pd.DataFrame({"nth": (int(rows["block"].iloc[0]) << BLOCK_BITS) + at, "own": own[at]})
 
-        def values(body: bytes) -> np.ndarray:
-            return shingle_values(next(words_of([open_.decompress(body).decode("utf-8", "replace")])), width)
 
-        last = None, None
+def lister(similar: int):
+    def entries(nodes: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        """(value, node, n, at, own) of a block: the retained values that others hold too, and their place in the node's order."""
+        names = ["value", "node", "n", "at", "own"]
+        if not len(nodes) or not len(rows):
+            return pd.DataFrame(columns=names).astype("int64")
+        values, places, times = (np.concatenate(x) for x in zip(*(unpacked(b) for b in rows["body"]), strict=True))
+        order = np.lexsort((values, times, places))
+        values, places = values[order], places[order].astype(np.int64)
+        size, node = np.zeros(SEVERAL, np.int64), np.zeros(SEVERAL, np.int64)
+        at = nodes["nth"].to_numpy() & (SEVERAL - 1)
+        size[at], node[at] = nodes["n"], nodes["node"]
+        many = np.bincount(places, minlength=SEVERAL)
+        own = size - many
+        rank = own[places] + np.arange(len(places)) - (np.cumsum(many) - many)[places]
+        kept = rank < (size + 1 - (similar * size + 99) // 100)[places]
+        places = places[kept]
+        return pd.DataFrame({"value": values[kept].view(np.int64), "node": node[places], "n": size[places], "at": rank[kept], "own": own[places]})
+
+    return entries
+
+
+def verifier(width: int, similar: int):
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             linked = []
-            for a, b in zip(rows["body_u"], rows["body_v"], strict=True):
-                if last[0] != a:
-                    last = a, values(a)
-                x, y = last[1], values(b)
+            for a, b in zip(rows["text_u"], rows["text_v"], strict=True):
+                x, y = (shingle_values(next(words_of([t])), width) for t in (a, b))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * both >= similar * (len(x) + len(y) - both))
             yield rows[["u", "v"]][np.array(linked, bool)]
@@ -214,141 +299,117 @@ def estimated(pairs: DataFrame, nodes: DataFrame, similar: int) -> DataFrame:
     t = similar / 100
     sketches = nodes.select("node", "bottom")
     both = pairs.join(sketches.select(F.col("node").alias("u"), F.col("bottom").alias("a")), "u").join(sketches.select(F.col("node").alias("v"), F.col("bottom").alias("b")), "v")
-    union = F.slice(F.array_sort(F.array_union("a", "b")), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect("a", "b"), union))
-    size = F.size(union)
-    return both.where(shared >= t * size - SLACK * F.sqrt(t * (1 - t) * size)).select("u", "v")
+    # Order by the values as unsigned numbers, as the sketches are.
+    unsigned = F.transform(F.array_union("a", "b"), lambda x: x.bitwiseXOR(F.lit(-(2**63))))
+    union = F.transform(F.slice(F.array_sort(unsigned), 1, SKETCH), lambda x: x.bitwiseXOR(F.lit(-(2**63))))
+    both = both.withColumn("union", union).withColumn("shared", F.size(F.array_intersect(F.array_intersect("a", "b"), "union"))).withColumn("size", F.size("union"))
+    return both.where(F.col("shared") >= t * F.col("size") - SLACK * F.sqrt(t * (1 - t) * F.col("size"))).select("u", "v")
 
 
-def confirmed(pairs: DataFrame, bodies: DataFrame, width: int, similar: int) -> DataFrame:
+def confirmed(pairs: DataFrame, nodes: DataFrame, width: int, similar: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    left = pairs.join(bodies.select(F.col("node").alias("u"), F.col("body").alias("body_u")), "u")
-    both = left.join(bodies.select(F.col("node").alias("v"), F.col("body").alias("body_v")), "v")
+    texts = nodes.select("node", "text")
+    left = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
+    both = left.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
     return both.mapInPandas(verifier(width, similar), "u long, v long")
 
 
-def inverted_lists(nodes: DataFrame) -> DataFrame:
-    """value, node, n, at (the value's place in the node's order), own (values of the node that no other retains), component (itself); without lists of one."""
-    lists = nodes.select("node", "n", F.size("kept").alias("p"), F.posexplode("kept").alias("at", "value"))
-    lists = lists.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("value"))).where("many > 1").drop("many")
-    own = F.col("p") - F.count(F.lit(1)).over(Window.partitionBy("node"))
-    return settle(lists.withColumn("own", own).drop("p").withColumn("component", F.col("node")), "lists")
-
-
-def still_open(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """The lists that hold more than one component."""
-    by_value = Window.partitionBy("value")
-    placed = lists.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return placed.withColumn("low", F.min("component").over(by_value)).withColumn("high", F.max("component").over(by_value)).where("low != high").drop("low", "high")
-
-
-def can_be_similar(a: str, b: str, similar: int):
-    """Sizes allow it, and so do the places of a first common value: what precedes it is in one set only."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    shared = F.least(na - F.col(f"{a}.at"), nb - F.col(f"{b}.at"))
-    return (100 * F.least(na, nb) >= similar * F.greatest(na, nb)) & ((100 + similar) * shared >= similar * (na + nb))
-
-
-def most_met(pairs: DataFrame, most: int) -> DataFrame:
-    """For each u the v that it meets in most lists; pairs as (greater, lesser)."""
-    met = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("met"))
-    nth = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("met"), "v"))
-    return met.withColumn("nth", nth).where(F.col("nth") <= most).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
+def widest(n: str, at: str, similar: int) -> Column:
+    """The largest set that a set can be similar to whose first common value with it is at this place, as what precedes it is in one set only."""
+    return F.expr(f"({100 + similar} * ({n} - {at})) div {similar} - {n}")
 
-ENTRY = ("own", "node", "n", "at", "component")
 
+def placed(lists: DataFrame, found: DataFrame | None) -> DataFrame:
+    """The lists with each node's component."""
+    if found is None:
+        return lists.withColumn("component", F.col("node"))
+    return lists.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-def hub_pairs(lists: DataFrame, similar: int) -> DataFrame:
-    """Each node with the hubs it meets most: the node of a list with the fewest values of its own, such as the original of many edited copies."""
-    hub = F.min(F.struct(*ENTRY)).over(Window.partitionBy("value"))
-    both = lists.select(F.struct(*ENTRY).alias("x"), hub.alias("y"))
-    return most_met(both.where((F.col("x.component") != F.col("y.component")) & can_be_similar("x", "y", similar)).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")), 2)
 
+def still_open(lists: DataFrame) -> DataFrame:
+    """The lists that hold more than one component, with their hub and their smallest set."""
+    hub = F.min(F.struct("own", "node", "n", "wide", "component"))
+    heads = lists.groupBy("value").agg(hub.alias("hub"), F.min("n").alias("least"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").drop("low", "high")
+    return lists.join(heads, "value")
 
-def neighbour_pairs(lists: DataFrame, similar: int) -> DataFrame:
-    """Each node with the neighbours by size it meets most."""
-    before = F.lag(F.struct(*ENTRY)).over(Window.partitionBy("value").orderBy("n", "component", "node"))
-    both = lists.select(F.struct(*ENTRY).alias("x"), before.alias("y"))
-    return most_met(both.where((F.col("x.component") != F.col("y.component")) & can_be_similar("x", "y", similar)).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")), 2)
 
-
-def opened(width: int):
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_ = zstandard.ZstdDecompressor()
-        for rows in batches:
-            sets = [shingle_values(w, width).view(np.int64) for w in words_of([open_.decompress(b).decode("utf-8", "replace") for b in rows["body"]])]
-            yield pd.DataFrame({"node": rows["node"], "component": rows["component"], "part": [xxhash.xxh3_64_intdigest(b) >> 1 for b in rows["body"]], "n": [len(x) for x in sets], "values": sets})
-
-    return expand
-
-
-def sharpened(lists: DataFrame, bodies: DataFrame, width: int, similar: int) -> DataFrame:
-    """The inverted lists of the nodes that are left, with their full sets ordered by how many of these nodes hold a value.
-
-    Values that one node alone holds now come first for certain. A copy edited beyond the similarity has so many of
-    them that none of its places passes, however many other copies there are.
-    """
-    left = lists.select("node", "component").distinct()
-    each = bodies.join(left, "node").mapInPandas(opened(width), "node long, component long, part long, n long, values array<long>")
-    each = each.select("node", "component", "part", "n", F.explode("values").alias("value")).withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("value")))
-    place = F.row_number().over(Window.partitionBy("node", "part").orderBy("many", "value")) - 1
-    kept = each.withColumn("at", place).where((F.col("many") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * similar / 100)))
-    by_value = Window.partitionBy("value")
-    return kept.withColumn("low", F.min("component").over(by_value)).withColumn("high", F.max("component").over(by_value)).where("low != high").select("value", "node", "n", "at", "component")
+def hub_pairs(lists: DataFrame) -> DataFrame:
+    """Each node with the hub that it meets in most lists."""
+    meet = lists.where("component != hub.component and n <= hub.wide and hub.n <= wide").groupBy(F.col("node").alias("u"), F.col("hub.node").alias("v")).agg(F.count(F.lit(1)).alias("met"))
+    best = meet.groupBy("u").agg(F.max(F.struct("met", (-F.col("v")).alias("v"))).alias("best")).select("u", (-F.col("best.v")).alias("v"))
+    return best.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def cross_pairs(lists: DataFrame, similar: int) -> DataFrame:
+def cross_pairs(lists: DataFrame) -> DataFrame:
     """Every pair of a list that lies in different components and can be similar."""
-    a, b = lists.alias("x"), lists.alias("y")
-    both = a.join(b, (F.col("x.value") == F.col("y.value")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & can_be_similar("x", "y", similar))
+    some = lists.where("least <= wide").drop("hub")
+    a, b = some.alias("x"), some.alias("y")
+    both = a.join(b, F.expr("x.value = y.value and x.node > y.node and x.component != y.component and x.n <= y.wide and y.n <= x.wide"))
     return both.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
-    nobody = -(2**63)
-    texts = docs.select(F.coalesce("doc_id", F.lit(nobody)).cast("long").alias("doc"), whole_text().alias("text"))
-    sketches = settle(texts.mapInPandas(sketcher(word_classes(docs), width, similar), "doc long, n long, digest binary, kept array<long>, bottom array<long>"), "sketches")
-    heads = sketches.where("n > 0").groupBy("digest").agg(F.min("doc").alias("node"))
-    members = settle(sketches.select("doc", "n", "digest").join(heads, "digest", "left").select("doc", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("doc")).alias("node"), "digest"), "members")
-    firsts = members.where("n > 0 and doc = node").select("doc", "digest").distinct()
-    nodes = settle(sketches.join(firsts, ["doc", "digest"]).select(F.col("doc").alias("node"), "n", "kept", "bottom").dropDuplicates(["node", "kept"]), "nodes")
-
-    lists = inverted_lists(nodes)
-    involved = lists.select(F.col("node").alias("doc")).distinct()
-    keyed = texts.join(involved, "doc", "left_semi").select(F.col("doc").alias("node"), "text").dropDuplicates(["node", "text"])
-    bodies = settle(keyed.mapInPandas(squeeze, "node long, body binary"), "bodies")
+def grouped(docs: DataFrame, width: int, similar: int) -> DataFrame:
+    """A row for each row of docs: row, doc (all its columns), n, component (rows with the same one belong together)."""
+    spark = docs.sparkSession
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows = settle(named.withColumn("sets", measure(width)("doc.text")).select("doc", "sets.n", "sets.digest", F.monotonically_increasing_id().alias("row")), "rows", "zstd")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return rows.select("row", "doc", "n", F.col("row").alias("component"))
+    bits = total.bit_length() + MORE_BITS
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def counts(texts: DataFrame, values: int, every: bool) -> DataFrame:
+        ranges = max(usual, -(-values // RANGE_VALUES))
+        return texts.mapInPandas(spreader(width, bits, ranges, every), "part int, block long, body binary").repartitionById(ranges, "part").mapInPandas(shared_values if every else singles, "block long, body binary")
+
+    own = counts(rows.where("n > 0").select(F.col("row").alias("nth"), F.col("doc.text").alias("text")), total, False).groupBy("block").applyInPandas(own_counts, "nth long, own long")
+    heads = settle(rows.where("n > 0").groupBy("digest").agg(F.min("row").alias("row"), F.first("n").alias("n")), "heads")
+    left = heads.join(own.withColumnRenamed("nth", "row"), "row", "left").where(F.expr(f"coalesce(own, 0) < {retained('n', similar)}")).select("row")
+    nodes = rows.select("row", "n", F.col("doc.text").alias("text")).join(left, "row").withColumnRenamed("row", "node")
+    nodes = settle(nodes.withColumn("bottom", bottom(width)("text")).withColumn("nth", F.monotonically_increasing_id()), "nodes", "zstd")
+
+    values = counts(nodes.select("nth", "text"), nodes.agg(F.sum("n")).first()[0] or 0, True)
+    block = F.shiftright("nth", BLOCK_BITS).alias("block")
+    lists = nodes.select("nth", "node", "n", block).groupBy("block").cogroup(values.groupBy("block")).applyInPandas(lister(similar), "value long, node long, n long, at long, own long")
+    lists = settle(lists.withColumn("wide", widest("n", "at", similar)).drop("at"), "lists")
 
     def tested(pairs: DataFrame, label: str) -> DataFrame:
-        return settle(confirmed(settle(estimated(pairs, nodes, similar), f"{label}-likely"), bodies, width, similar), f"{label}-links")
-
-    twice = members.withColumn("first", F.min("node").over(Window.partitionBy("doc"))).where("node != first").select(F.col("node").alias("u"), F.col("first").alias("v"))
-    links, found, done = settle(twice, "links"), None, None
-    for label, proposals in (("hub", hub_pairs), ("neighbour", neighbour_pairs)):
-        lists = lists if found is None else settle(still_open(lists, found), "open-lists")
-        pairs = settle(proposals(lists, similar), f"{label}-pairs")
-        if done is not None:
-            pairs = pairs.join(done, ["u", "v"], "left_anti")
+        return settle(confirmed(settle(estimated(pairs, nodes, similar), f"{label}-likely"), nodes, width, similar), f"{label}-links")
+
+    links = found = done = None
+    for _ in range(HUB_ROUNDS):
+        before, lists = lists, settle(still_open(placed(lists, found)), "open-lists")
+        discard(before)
+        lists, pairs = lists.drop("least"), hub_pairs(lists)
+        pairs = settle(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), "hub-pairs")
         done = pairs if done is None else done.unionAll(pairs)
-        links = links.unionAll(tested(pairs, label))
-        found = settle(components(links), "components")
-    lists = settle(still_open(lists, found).withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("value"))), "open-lists")
-    direct = cross_pairs(lists.where(F.col("many") <= SHORT_LIST), similar)
-    sharp = settle(sharpened(lists.where(F.col("many") > SHORT_LIST), bodies, width, similar), "sharp-lists")
-    cross = settle(direct.unionAll(cross_pairs(sharp, similar)).distinct().join(done, ["u", "v"], "left_anti"), "cross-pairs")
+        more = tested(pairs, "hub")
+        links = more if links is None else links.unionAll(more)
+        found = components(links)
+        lists = lists.drop("hub")
+    cross = settle(cross_pairs(still_open(placed(lists, found))).join(done, ["u", "v"], "left_anti"), "cross-pairs")
     more = tested(cross, "cross")
     if not more.isEmpty():
-        found = settle(components(links.unionAll(more)), "components")
-    joined = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = [F.when(F.col(c) != nobody, F.col(c)).alias(name) for c, name in (("doc", "doc_id"), ("component", "component_id"))]
-    return joined.select(ids[0], F.col("n").alias("n_shingles"), ids[1], (F.col("doc") == F.col("component")).alias("kept"))
+        found = components(links.unionAll(more))
+    discard(nodes)
+    same = rows.select("row", "digest", "n").join(heads.select("digest", F.col("row").alias("node")), "digest").join(found, "node", "left")
+    return rows.join(same.select("row", F.coalesce("component", "node").alias("component")), "row", "left").select("row", "doc", "n", F.coalesce("component", "row").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
+    every = grouped(docs.select("doc_id", "text"), width, similar).select(F.col("doc.doc_id").cast("long").alias("doc_id"), "n", "component")
+    least = every.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return every.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR) -> DataFrame:
-    """The first document of each group; ids are taken to be unique, rows without one stay."""
-    gone = near_duplicates(docs, width, similar).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """One row of each group: the one with the smallest id, the first of those that share it; rows without an id come last."""
+    every = grouped(docs, width, similar)
+    at = F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("id"), F.col("row").alias("row"))
+    stay = every.select("component", at.alias("at")).groupBy("component").agg(F.min("at").alias("at")).select(F.col("at.row").alias("row"))
+    return every.join(stay, "row", "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def op1_minhash(spark, sf_dir: str) -> DataFrame:
