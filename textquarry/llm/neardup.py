@@ -330,7 +330,8 @@ def still_open(lists: DataFrame) -> DataFrame:
     """The lists that hold more than one component, with their hub and their smallest set."""
     hub = F.min(F.struct("own", "node", "n", "wide", "component"))
     heads = lists.groupBy("value").agg(hub.alias("hub"), F.min("n").alias("least"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").drop("low", "high")
-    return lists.join(heads, "value")
+    # Settled, so that nothing but exchanges stands below the join and a list that many nodes share is split.
+    return lists.join(settle(heads, "hubs"), "value")
 
 
 def hub_pairs(lists: DataFrame) -> DataFrame:
