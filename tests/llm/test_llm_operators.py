@@ -279,6 +279,51 @@ def test_toxicity(spark, docs, nothing):
     assert got(toxicity.with_toxicity(extra, none, zero), "score") == {(0.5,): 5}
 
 
+def test_toxic_scores_of_the_fitted_model(spark):
+    """Learned on labelled prose: misspelt terms score above a clean text, quoted below plain; held-out labels change nothing, and recall holds."""
+    r = random.Random(8)
+    plain = ["".join(r.choice("bdfgklnprstv") + r.choice("aeou") for _ in range(r.randint(2, 4))) for _ in range(300)]
+    terms = ["idiot", "pathetic", "worthless", "scum", "moron"]
+    rows, marks = [], []
+    for i in range(600):
+        t, bad = [r.choice(plain) for _ in range(r.randint(20, 80))], i % 7 == 0
+        for _ in range(r.randint(2, 5) if bad else 0):
+            t[r.randrange(len(t))] = r.choice(terms)
+        if i % 29 == 3 and not bad:
+            t[5] = f'"{r.choice(terms)}"'
+        rows.append((i, " ".join(t)))
+        marks.append((i, 1, int(bad)))
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    lexicon, weights = toxicity.fit_toxicity(own, labels)
+    assert set(terms) <= lexicon.terms and (weights[:-1] >= 0).all()
+    flipped = labels.selectExpr("doc_id", "quality", "if(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, 1 - toxic, toxic) as toxic")
+    again = toxicity.fit_toxicity(own, flipped)
+    assert again[0].terms == lexicon.terms and (again[1] == weights).all()
+    pad = " ".join(plain[:30])
+    tried = ["", "moron", "m0ron", '"moron"', "pathetic worthless", "pathetik w0rthles", "m0ron scvm idiott"]
+    scored = toxicity.with_toxicity(spark.createDataFrame([(i, f"{pad} {t} {pad}") for i, t in enumerate(tried)], "doc_id long, text string"), lexicon, weights)
+    s = {tried[x["doc_id"]]: x["score"] for x in scored.collect()}
+    assert s["m0ron"] > s[""] and s["moron"] >= s["m0ron"] and s["moron"] > s['"moron"'] >= s[""]
+    assert s["pathetik w0rthles"] > s["m0ron"] and s["m0ron scvm idiott"] > s["m0ron"]
+    held = toxicity.with_toxicity(own, lexicon, weights).join(labels, "doc_id").where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0").collect()
+    bad = [x["predicted"] for x in held if x["toxic"]]
+    assert len(bad) >= 10 and sum(bad) >= 0.9 * len(bad) and not any(x["predicted"] for x in held if not x["toxic"])
+
+
+def test_scores_leave_columns_of_their_names(spark, docs):
+    net = convnet.Net.fresh(quality.SHAPE, 1)
+    assert quality.with_quality(docs, net).where("score = 'x' and score_ between 0 and 1").count() == docs.count()
+    assert quality.good_ones(docs, net, 0.0).columns == docs.columns and quality.good_ones(docs, net, 0.0).where("score = 'x'").count() == docs.count()
+    assert toxicity.with_toxicity(docs, toxicity.Lexicon([]), np.zeros(6)).where("score = 'x' and score_ = 0.5 and predicted = 1").count() == docs.count()
+
+
+def test_stems_accept_what_begins_with_them():
+    lexicon = toxicity.Lexicon(["scum"], ["achli", "bom"])
+    assert [lexicon.stem(t) for t in ("achlichen", "achli", "achl", "bombo", "scum", "bam", "")] == ["achli", "achli", None, "bom", None, None, None]
+    assert lexicon.find("scvm") == ("scum", 1) and lexicon.find("achlo") is None
+
+
 def test_copied_toxic_documents_push_no_term_out(spark):
     own, labels = marked(spark)
     long = " ".join(f"rare{i}x" for i in range(2500))

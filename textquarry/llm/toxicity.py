@@ -1,14 +1,21 @@
 """Toxicity: a learned lexicon, found through misspellings, and scores of each hit's context.
 
 The lexicon comes from counts over a bounded sample of the labelled rows that may be learned from (the SAMPLE first ones by
-hash of the id): terms that stand in toxic documents far more often than elsewhere. Terms may also be stems, for languages that toxic words are
-derived in: beginnings that several different words of a toxic document share. The trie of terms is walked together with a Levenshtein automaton for each distinct token, so a term is
-found at one edit (two from eight letters on). Each hit is weighed by its window: inside quotation marks or after a
-quoting sign it counts for QUOTED of a plain one. Sums over the document go into a logistic model fitted on the same sample;
-every text is scored whole.
+hash of the id): terms that stand in toxic documents far more often than elsewhere, and stems, for languages that toxic words are
+derived in: beginnings that several different words of a toxic document share. Terms and stems share one trie, in which a stem accepts
+any token that begins with it; terms that do so are left to their stem. The trie is walked together with a Levenshtein automaton for each distinct token, so a term is
+found at one edit (two from eight letters on). A stem must stand whole, as the words derived from it vary behind it.
+
+A hit counts 1 if the term stands as it is, otherwise its confidence: how likely a token near that term is the term misspelt and not a
+chance neighbour. It comes from the sample: toxic documents that hold such tokens, and as many more as if MISSPELT of the term's uses
+were misspelt, against the different tokens near it elsewhere. Those that the sample knows as everyday words count nothing themselves.
+Each hit is weighed by its window: hits inside quotation marks are summed apart from the plain ones and get a weight of their own, QUOTED of
+the other's unless the sample says otherwise. The sums go into a logistic model fitted on the same sample whose weights are at or above zero, that of quoted hits at most that of plain
+ones; so a misspelt term never lowers a score, and quotation never raises it above plain use. Every text is scored whole.
 
 Null and empty texts have no hits and get the score of a text without any. Null labels are left out, repeated ones count
-again; without labels every score is 0.5. An empty table gives an empty result. Only id and text of the table are read.
+again; without labels every score is 0.5. Of terms equally near to a token the first by spelling counts; equal texts get equal scores. An
+empty table gives an empty result. Only id and text of the table are read; where it has columns score or predicted, these stay and the new ones get a name with underscores behind.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_remainder, settle, table, whole_text
+from .shared import free_name, id_remainder, settle, table, whole_text
 
 #: A term has this many characters at least; two edits are allowed from LONG on.
 SHORTEST, LONG = 4, 8
@@ -32,8 +39,14 @@ STEMS = (5, 6, 7, 8)
 DIVERSE, FREQUENT = 0.4, 0.25
 #: Labelled documents that lexicon and model are fitted on.
 SAMPLE = 20_000
-#: Tokens on either side that are looked at, and what a hit in quotation counts.
-SPAN, QUOTED = 6, 0.4
+#: Tokens on either side that are looked at.
+SPAN = 6
+#: A token near a term is an everyday word if this many sample documents hold it, and less than this part of them is toxic.
+KNOWN, EVERYDAY = 2, 0.5
+#: What a quoted hit counts of a plain one before the sample says otherwise.
+QUOTED = 0.4
+#: The part of a term's uses that is taken to be misspelt before any is seen.
+MISSPELT = 0.05
 EDGES = ".,;:!?()[]{}<>|/\\#$%&*+=~^_-\"'`´‘’‚“”„«»‹›…"
 QUOTES = frozenset("\"“”„«»‹›")
 #: Distinct tokens a worker remembers the verdict on.
@@ -48,10 +61,15 @@ class Lexicon:
     """
 
     def __init__(self, terms, stems=()):
-        self.terms, self.stems = frozenset(terms), {}
-        for stem in stems:
-            self.stems.setdefault(len(stem), set()).add(stem)
+        self.terms, self.stems = frozenset(terms), frozenset(stems)
+        self.everyday: frozenset[str] = frozenset()
+        self.confidence: dict[str, float] = {}
         self.root: dict = {}
+        for stem in self.stems:
+            node = self.root
+            for c in stem:
+                node = node.setdefault(c, {})
+            node["*"] = stem
         self.heads, self.tails, self.middles = {}, {}, {}
         for term in self.terms:
             node = self.root
@@ -70,9 +88,22 @@ class Lexicon:
     def allowed(size: int) -> int:
         return 2 if size >= LONG else 1
 
-    def stem(self, token: str) -> bool:
-        """Whether the token begins with a stem."""
-        return any(token[:k] in stems for k, stems in self.stems.items())
+    def stem(self, token: str) -> str | None:
+        """The shortest stem that the token begins with."""
+        node = self.root
+        for c in token:
+            if "*" in node:
+                return node["*"]
+            node = node.get(c)
+            if node is None or c == "*":
+                return None
+        return node.get("*")
+
+    def weight(self, token: str, found) -> float:
+        """What a hit counts."""
+        if found[1] == 0:
+            return 1.0
+        return 0.0 if token in self.everyday else self.confidence.get(found[0], 1.0)
 
     def worth_it(self, token: str) -> bool:
         if any(token[:k] in parts for k, parts in self.heads.items()) or any(token[-k:] in parts for k, parts in self.tails.items()):
@@ -92,6 +123,8 @@ class Lexicon:
         while stack:
             node, row = stack.pop()
             for c, below in node.items():
+                if c == "*":  # a stem, which stem() finds
+                    continue
                 if c == "":
                     d = row.get(n, 9)
                     if d <= self.allowed(len(below)) and (best is None or (d, below) < (best[1], best[0])):
@@ -114,16 +147,17 @@ class Lexicon:
 
 
 #: What the logistic model sees of a document.
-FEATURES = ("plain", "misspelt", "crowded", "dense", "any", "stems")
+FEATURES = ("plain", "quoted", "crowded", "dense", "stems")
 
 
 class Reader:
-    """Turns texts into features; remembers verdicts on tokens within a bound."""
+    """Turns texts into hits and features; remembers verdicts on tokens within a bound."""
 
-    def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.seen, self.hits, self.stemmed = lexicon, set(), {}, {}
+    def __init__(self, lexicon: Lexicon, learning: bool = False):
+        self.lexicon, self.learning, self.seen, self.hits, self.stemmed = lexicon, learning, set(), {}, {}
 
     def judged(self, tokens: set[str]) -> set[str]:
+        """Those of the tokens that are hits; learning: also those that count nothing."""
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
             self.hits.clear()
@@ -131,31 +165,26 @@ class Reader:
         for raw in tokens - self.seen:
             token = raw.strip(EDGES) if len(raw) >= SHORTEST - 1 else ""
             if token and (found := self.lexicon.find(token)):
-                self.hits[raw] = found
+                weight = self.lexicon.weight(token, found)
+                if weight or self.learning:
+                    self.hits[raw] = token, weight
             elif token and self.lexicon.stem(token):
                 self.stemmed[raw] = token
         self.seen |= tokens
         return tokens & self.hits.keys()
 
-    def features(self, text: str | None) -> list[float]:
+    def read(self, text: str | None) -> tuple:
+        """How many tokens; how many derived from stems; place, bare token and quotation of each hit."""
         tokens = (text or "").lower().split()
         distinct = set(tokens)
         mine = self.judged(distinct)
-        stems = float(np.log1p(len({self.stemmed[t] for t in distinct & self.stemmed.keys()})))
-        if not mine:
-            return [0.0] * (len(FEATURES) - 1) + [stems]
-        places = [i for i, x in enumerate(tokens) if x in mine]
-        plain = misspelt = crowded = 0.0
-        for n, i in enumerate(places):
-            weight = QUOTED if self.quoted(tokens, i) else 1.0
-            if self.hits[tokens[i]][1]:
-                misspelt += weight
-            else:
-                plain += weight
-            if n and i - places[n - 1] <= SPAN:
-                crowded += weight
-        every = plain + misspelt
-        return [np.log1p(plain), np.log1p(misspelt), np.log1p(crowded), min(1.0, 20 * every / len(tokens)), min(1.0, every), stems]
+        stems = len({self.stemmed[t] for t in distinct & self.stemmed.keys()})
+        places = [i for i, x in enumerate(tokens) if x in mine] if mine else []
+        return len(tokens), stems, places, [self.hits[tokens[i]][0] for i in places], [self.quoted(tokens, i) for i in places]
+
+    def features(self, text: str | None) -> list[float]:
+        size, stems, places, words, quoted = self.read(text)
+        return features(size, stems, places, [self.lexicon.weight(w, self.lexicon.find(w)) for w in words], quoted)
 
     @staticmethod
     def quoted(tokens: list[str], i: int) -> bool:
@@ -167,6 +196,14 @@ class Reader:
         return opens and closes
 
 
+def features(size: int, stems: int, places, weights, quoted) -> list[float]:
+    """FEATURES of a document."""
+    plain = sum(w for w, q in zip(weights, quoted, strict=True) if not q)
+    cited = sum(w for w, q in zip(weights, quoted, strict=True) if q)
+    near = [(places[n] - places[n - 1] <= SPAN) * w for n, w in enumerate(weights) if n]
+    return [float(np.log1p(plain)), float(np.log1p(cited)), float(np.log1p(sum(near))), min(1.0, 20 * (plain + stems) / max(1, size)), float(np.log1p(stems))]
+
+
 def learned_terms(marked: DataFrame) -> list[str]:
     """Terms that mark toxic documents, by counts over the labelled documents (text, mark) of the sample.
 
@@ -231,16 +268,57 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable=None) -> tuple[Lexic
     marked = settle(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "mark"), "labelled")
     if marked.isEmpty():
         return Lexicon([]), np.zeros(len(FEATURES) + 1)
-    lexicon = Lexicon(learned_terms(marked), learned_stems(marked))
+    stems = learned_stems(marked)
+    lexicon = Lexicon([t for t in learned_terms(marked) if not t.startswith(tuple(stems))], stems)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(lexicon)
+        reader = Reader(lexicon, learning=True)
         for rows in batches:
-            yield pd.DataFrame([[m, *reader.features(t)] for t, m in zip(rows["text"], rows["mark"], strict=True)], columns=["mark", *FEATURES])
+            yield pd.DataFrame([[m, *reader.read(t)] for t, m in zip(rows["text"], rows["mark"], strict=True)], columns=["mark", "size", "stems", "places", "words", "quoted"])
 
-    got = marked.mapInPandas(read, "mark int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()  # at most SAMPLE rows
+    hits = settle(marked.mapInPandas(read, "mark int, size long, stems long, places array<int>, words array<string>, quoted array<boolean>"), "toxic-hits")
+    words = hits.select("mark", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.sum("mark").alias("bad"), F.count(F.lit(1)).alias("all"))
+    trust(lexicon, [(r["word"], r["bad"], r["all"]) for r in words.collect()])  # words near a term in at most SAMPLE documents
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for mark, size, stems, *found in zip(*(rows[c] for c in ("mark", "size", "stems", "places", "words", "quoted")), strict=True):
+                each = [(p, w, q) for p, word, q in zip(*found, strict=True) if (w := lexicon.weight(word, lexicon.find(word)))]
+                out.append([mark, *features(size, stems, [x[0] for x in each], [x[1] for x in each], [x[2] for x in each])])
+            yield pd.DataFrame(out, columns=["mark", *FEATURES])
+
+    got = hits.mapInPandas(weigh, "mark int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()  # at most SAMPLE rows
     got = got.sort_values(["mark", *FEATURES])
-    return lexicon, newton(got[list(FEATURES)].to_numpy(), got["mark"].to_numpy(float))
+    return lexicon, settled_weights(got[list(FEATURES)].to_numpy(), got["mark"].to_numpy(float))
+
+
+def trust(lexicon: Lexicon, words: list[tuple[str, int, int]]) -> None:
+    """Everyday words near terms, and each term's confidence, from (word, toxic documents, documents) of the sample."""
+    found = [(w, bad, every, *near) for w, bad, every in sorted(words) if (near := lexicon.find(w))]
+    lexicon.everyday = frozenset(w for w, bad, every, _, d in found if d and every >= KNOWN and bad < EVERYDAY * every)
+    for term in lexicon.terms:
+        near = [(w, bad, every) for w, bad, every, t, d in found if t == term and d]
+        meant = MISSPELT * sum(bad for _, bad, _, t, d in found if t == term and not d) + sum(bad for w, bad, _ in near if w not in lexicon.everyday)
+        lexicon.confidence[term] = meant / max(1e-9, meant + sum(bad < every for _, bad, every in near))
+
+
+def settled_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic regression whose weights are at or above zero: those that come out below leave, the lowest first.
+
+    The weight of quoted hits is learned as a distance from QUOTED of the plain ones' weight, and lies between zero and that weight.
+    """
+    x = np.c_[x[:, 0] + QUOTED * x[:, 1], x[:, 1:]]
+    use, w = list(range(x.shape[1])), np.zeros(x.shape[1] + 1)
+    while True:
+        w[:] = 0
+        w[[*use, -1]] = newton(x[:, use], y)
+        bound = [k for k in use if k != 1 and w[k] < 0]
+        if not bound:
+            break
+        use.remove(min(bound, key=lambda k: w[k]))
+    w[1] = min(max(0.0, QUOTED * w[0] + w[1]), w[0])
+    return w
 
 
 def newton(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -271,7 +349,8 @@ def scorer(lexicon: Lexicon, weights: np.ndarray):
 
 def with_toxicity(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, threshold: float = 0.5) -> DataFrame:
     """docs and the columns score, predicted."""
-    return docs.withColumn("score", scorer(lexicon, weights)("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    score = free_name(docs, "score")
+    return docs.withColumn(score, scorer(lexicon, weights)("text")).withColumn(free_name(docs, "predicted"), (F.col(score) >= threshold).cast("int"))
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
