@@ -40,6 +40,11 @@ class Net:
     def parts(self) -> list[np.ndarray]:
         return [self.embed, self.filters, self.bias, self.out]
 
+    def traced(self, codes: np.ndarray, block: int = 256):
+        """The maxima, where they stand, and what each filter saw there, a block of chunks at a time."""
+        parts = [self.pooled(codes[a : a + block], places=True) for a in range(0, len(codes), block)]
+        return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
     def pooled(self, codes: np.ndarray, places: bool = False):
         """(chunks, filters) maxima; with places also where they stand and what the filters saw."""
         s = self.shape
@@ -49,7 +54,7 @@ class Net:
         if not places:
             return np.maximum(act.max(1) + self.bias, 0)
         at = act.argmax(1)
-        return np.maximum(np.take_along_axis(act, at[:, None], 1)[:, 0] + self.bias, 0), at, x
+        return np.maximum(np.take_along_axis(act, at[:, None], 1)[:, 0] + self.bias, 0), at, x[np.arange(len(codes))[:, None], at]
 
     def combine(self, mean: np.ndarray, most: np.ndarray) -> np.ndarray:
         """The probability from the mean and the maximum over a document's chunks."""
@@ -77,7 +82,7 @@ def learn(shape: Shape, samples: list[np.ndarray], marks: np.ndarray, epochs: in
             docs = order[a : a + BATCH]
             codes = np.concatenate([samples[i] for i in docs])
             owner = np.repeat(np.arange(len(docs)), [len(samples[i]) for i in docs])
-            top, at, x = net.pooled(codes, places=True)
+            top, at, x = net.traced(codes)
             starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             count = np.bincount(owner)[:, None]
             mean, most = np.add.reduceat(top, starts) / count, np.maximum.reduceat(top, starts)
@@ -87,7 +92,7 @@ def learn(shape: Shape, samples: list[np.ndarray], marks: np.ndarray, epochs: in
             g_top = (g_feats[:, : shape.filters] / count)[owner] + g_feats[:, shape.filters :][owner] * (top == most[owner])
             g_top = (g_top * (top > 0)).astype(np.float32)
             rows = np.arange(len(codes))[:, None]
-            g_filters = np.einsum("cfk,cf->kf", x[rows, at], g_top)
+            g_filters = np.einsum("cfk,cf->kf", x, g_top)
             g_seen = (g_top[:, :, None] * net.filters.T).reshape(-1, shape.dim)
             which = codes[rows[:, :, None], at[:, :, None] * shape.stride + np.arange(shape.width)].ravel()
             g_embed = np.stack([np.bincount(which, g_seen[:, k], shape.symbols) for k in range(shape.dim)], 1)

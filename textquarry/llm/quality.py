@@ -4,10 +4,11 @@ A text is cut into overlapping chunks of its UTF-8 bytes, which together cover a
 embedded bytes of each chunk and are max-pooled within it; the mean and the maximum over all chunks go into one logistic
 unit. Chunks of many texts are scored together, so memory is bounded by the block and not by the longest text.
 
-Learning uses a bounded sample: the SAMPLE labelled rows that come first by hash of the id, and LEARN_CHUNKS hash-drawn
-chunks of each. Scoring covers every byte of every text. Null and empty texts are one chunk of padding and get a score like
+Learning uses a bounded sample of rows, the SAMPLE labelled ones that come first by hash of the id, with all their chunks, as in
+scoring. Every byte of every text is scored. Null and empty texts are one chunk of padding and get a score like
 any other; null labels and labels without a document are left out, repeated labels count as often as they stand; without
-labels every score is 0.5; an empty table gives an empty result; of the table only id and text are read.
+labels every score is 0.5; equal texts get equal scores; an empty table gives an empty result. Of the table only id and text are
+read; where it has columns score or predicted, these stay and the new ones get a name with underscores behind.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .convnet import Net, Shape, learn
-from .shared import id_remainder, table
+from .shared import free_name, id_remainder, table
 
 CHUNK, OVERLAP = 512, 32
 PAD = 256
 SHAPE = Shape(symbols=PAD + 1, width=8, stride=2, dim=8, filters=24)
-#: Bounds of the learning sample.
-SAMPLE, LEARN_CHUNKS = 3000, 4
+#: Labelled rows that are learned from, at most.
+SAMPLE = 3000
 EPOCHS, SEED = 8, 5
 #: Chunks scored at once.
 BLOCK = 256
@@ -74,25 +75,19 @@ def scores(net: Net, texts) -> np.ndarray:
     return net.combine(total / np.maximum(count, 1)[:, None], most)
 
 
-def drawn_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Up to LEARN_CHUNKS chunks of each text, drawn by a hash of its id."""
+def learning_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The bytes of each text with its label."""
     for rows in batches:
-        out = []
-        for doc_id, text, mark in zip(rows["doc_id"], rows["text"], rows["mark"], strict=True):
-            codes = chunks_of((text or "").encode("utf-8", "replace"))
-            if len(codes) > LEARN_CHUNKS:
-                codes = codes[np.sort(np.random.default_rng(int(doc_id) & 0xFFFFFFFF).choice(len(codes), LEARN_CHUNKS, replace=False))]
-            out.append((doc_id, int(mark), codes.astype(np.int16).tobytes()))
-        yield pd.DataFrame(out, columns=["doc_id", "mark", "codes"])
+        yield pd.DataFrame({"doc_id": rows["doc_id"], "mark": rows["mark"], "data": [(t or "").encode("utf-8", "replace") for t in rows["text"]]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE) -> Net:
     """Learns from at most `sample` rows of labels (doc_id, mark) for which the column `usable` holds."""
     marked = labels.where(usable & F.col("mark").isin(0, 1) & F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(sample)
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    rows = texts.join(F.broadcast(marked), "doc_id").mapInPandas(drawn_chunks, "doc_id long, mark int, codes binary").toPandas()  # at most sample * LEARN_CHUNKS chunks
-    rows = rows.sort_values(["doc_id", "mark", "codes"])
-    return learn(SHAPE, [np.frombuffer(x, np.int16).reshape(-1, CHUNK) for x in rows["codes"]], rows["mark"].to_numpy(np.float32), EPOCHS, SEED)
+    rows = texts.join(F.broadcast(marked), "doc_id").mapInPandas(learning_chunks, "doc_id long, mark int, data binary").toPandas()  # at most `sample` labels
+    rows = rows.sort_values(["doc_id", "mark", "data"])
+    return learn(SHAPE, [chunks_of(x) for x in rows["data"]], rows["mark"].to_numpy(np.float32), EPOCHS, SEED)
 
 
 def scorer(net: Net):
@@ -105,7 +100,13 @@ def scorer(net: Net):
 
 def with_quality(docs: DataFrame, net: Net, threshold: float = 0.7) -> DataFrame:
     """docs and the columns score, predicted."""
-    return docs.withColumn("score", scorer(net)("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    score = free_name(docs, "score")
+    return docs.withColumn(score, scorer(net)("text")).withColumn(free_name(docs, "predicted"), (F.col(score) >= threshold).cast("int"))
+
+
+def good_ones(docs: DataFrame, net: Net, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs that score at the threshold or above."""
+    return docs.where(scorer(net)("text") >= threshold)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> Net:
