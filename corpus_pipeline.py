@@ -15,7 +15,7 @@ from textquarry.llm.shared import new_path, settle, table
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at its threshold or above."""
     net = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
-    return quality.with_quality(docs, net).where("predicted = 1").select(*docs.columns)
+    return quality.good_ones(docs, net)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
