@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import json
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -462,9 +464,26 @@ def test_encoder_equals_the_tokenizer():
     e = tokens.Encoder(tokens.vocabulary())
     for _ in range(1500):
         text = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
-        if np.frombuffer(e.encode_all([text])[0], "<u4").tolist() != e.tokenizer.encode(text, add_special_tokens=False).ids:
+        if e.encode_all(pa.array([text]))[0].tolist() != e.tokenizer.encode(text, add_special_tokens=False).ids:
             bad.append(text)
-    assert not bad
+    assert e.by_runs and not bad
+    many = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(300)]
+    ids, counts = e.encode_all(pa.array(["x y", *many, "z"]).slice(1, 300))
+    want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in many]
+    assert ids.tolist() == [i for x in want for i in x] and counts.tolist() == [len(x) for x in want]
+
+
+def test_other_vocabulary_files_are_asked_for_whole_texts(tmp_path):
+    """A file that keeps white space or case may not be encoded run by run."""
+    with open(tokens.vocabulary()) as f:
+        file = json.load(f)
+    file["normalizer"] = {"type": "NFC"}
+    (tmp_path / "v.json").write_text(json.dumps(file))
+    for path in (str(tmp_path / "v.json"), tokens.vocabulary("byte_bpe_50k.json")):
+        e, texts = tokens.Encoder(path), ["A b  c.", "", "Über\ndon't"]
+        ids, counts = e.encode_all(pa.array(texts))
+        want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert not e.by_runs and ids.tolist() == [i for x in want for i in x] and counts.tolist() == [len(x) for x in want]
 
 
 # ---- 7

@@ -3,7 +3,7 @@
 Texts go through a public tokenizer in ascending id order and are written as shards of about SHARD_TOKENS ids. A shard
 file holds a wavelet matrix: one bit-plane for each bit of the ids, most significant first, where each plane stably
 sorts the sequence by its bit for the next. With the count of ones before every block of 512 bits as directory, a file answers access(i),
-rank(id, i), count(id) and select(id, k) without decoding; decode() gives all ids. Document ids and offsets are in the
+rank(id, i), count(id) and select(id, k) on the planes, once these are unpacked; decode() gives all ids. Document ids and offsets are in the
 file too, and every section is compressed with zstandard.
 
 Null texts are empty and get the end id alone, null ids come first, equal ids are ordered by their text, an empty
@@ -22,6 +22,8 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -34,7 +36,7 @@ VOCABULARY, END_ID = "word_bpe_49k.json", 1
 SHARD_TOKENS = 1 << 20
 #: Bits between two entries of a plane's directory.
 RANK_BLOCK = 512
-#: Distinct words whose ids a worker remembers.
+#: Distinct bases of runs whose ids a worker remembers.
 REMEMBERED = 1_000_000
 
 
@@ -48,13 +50,15 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         bits = max(1, int(ids.max(initial=0)).bit_length())
         planes, ranks, zeros, seq = [], [], [], ids.astype(np.uint16 if bits <= 16 else np.uint32)
+        spare = np.empty_like(seq)
         for b in range(bits - 1, -1, -1):
-            one = (seq >> b) & 1 == 1
+            one = (seq & seq.dtype.type(1 << b)).astype(bool)
             planes.append(np.packbits(one, bitorder="little"))
             ranks.append(cls.directory(planes[-1]))
-            rest = seq[~one]
-            zeros.append(len(rest))
-            seq = np.concatenate([rest, seq[one]])
+            zeros.append(len(seq) - int(np.count_nonzero(one)))
+            np.compress(~one, seq, out=spare[: zeros[-1]])
+            np.compress(one, seq, out=spare[zeros[-1] :])
+            seq, spare = spare, seq
         return cls(len(ids), planes, ranks, zeros)
 
     @staticmethod
@@ -177,69 +181,118 @@ def put(path: str, data: bytes) -> None:
     system.move(f"{folder}/{mark}{name}", f"{folder}/{name}")
 
 
-#: What str.split() cuts at beyond ASCII white space; texts that hold one go to the tokenizer whole.
-OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \t\n\r\x0b\x0c"]
 #: Punctuation that, behind a letter or digit, is a token of its own run whatever follows or precedes.
 TRAILING = ".,;:!?#$%&*"
+#: Such a letter or digit: it stays one letter or digit in lower case and NFC (U+0130 doesn't, nor do many beyond U+017F).
+CLOSED = "[0-9A-Za-zÀ-ÖØ-öø-įı-ſ]$"
+#: The steps of the vocabulary file that allow encoding runs between ASCII white space one by one. They drop white
+#: space, lower-case character by character, and part runs of letters, single digits and runs of other signs.
+BY_RUNS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "end_of_word_suffix": "</w>",
+}
+#: Bases encoded at once.
+LEARNED_AT_ONCE = 50_000
+#: Bytes of texts that are split at once.
+SPLIT_BYTES = 8 << 20
+
+
+def by_runs(path: str) -> bool:
+    """Whether the file's steps are those of BY_RUNS; any other file's texts go to the tokenizer whole."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    found = {k: file.get(k) for k in ("normalizer", "pre_tokenizer", "post_processor")} | {"end_of_word_suffix": file["model"].get("end_of_word_suffix")}
+    return found == BY_RUNS and not any(set(t["content"]) & set(" \t\n\r\x0b\x0c") or t["lstrip"] or t["rstrip"] for t in file["added_tokens"])
 
 
 class Encoder:
-    """The tokenizer, asked once for each distinct run between ASCII white space.
+    """The tokenizer; where its file allows it, asked once for each distinct run between ASCII white space.
 
-    For a vocabulary that drops white space, which ends every token, the ids of a text are those of its runs in turn. A run of
-    letters has the ids of its lower case if it is ASCII, and trailing punctuation its own ids; runs of letters are encoded
-    many at a time, and told apart by the tokens that end a word.
+    A run of ASCII letters has the ids of its lower case, and punctuation behind a CLOSED letter or digit its own ids; runs of letters
+    are encoded many at a time, and told apart by the tokens that end a word. The ids of a batch are then gathered by its distinct runs.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.tokenizer, self.by_runs = Tokenizer.from_file(path), by_runs(path)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
+        self.forget()
+
+    def forget(self) -> None:
+        """numbers: base to its number; ids, starts: the ids of all bases, and where each begins."""
+        self.numbers: dict[str, int] = {"": 0}
+        self.ids_of, self.starts = np.empty(0, np.uint32), np.zeros(2, np.int64)
 
     def ids(self, runs: list[str]) -> list[list[int]]:
         return [got.ids for got in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
 
     def learn(self, bases: list[str]) -> None:
-        plain = [w for w in bases if w.isalpha()]
-        ids = np.array(self.ids([" ".join(plain)])[0] if plain else [], "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) == len(plain):
-            data, a = ids.tobytes(), 0
-            for word, b in zip(plain, (4 * stops).tolist(), strict=True):
-                self.known[word] = data[a:b]
-                a = b
-            bases = [w for w in bases if not w.isalpha()]
-        for a in range(0, len(bases), 20_000):
-            part = bases[a : a + 20_000]
-            for word, got in zip(part, self.ids(part), strict=True):
-                self.known[word] = struct.pack(f"<{len(got)}I", *got)
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers."""
-        odd = {i for i, t in enumerate(texts) if any(c in t for c in OTHER_SPACE)}
-        split = [t.split() if i not in odd else [] for i, t in enumerate(texts)]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, parts = self.known, {}
-        for word in set().union(*split) - known.keys():
-            base = word.rstrip(TRAILING)
-            if base[-1:].isalnum() and base.isascii():
-                parts[word] = (base.lower() if base.isalpha() else base), word[len(base) :]
-            else:
-                parts[word] = word, ""
-        self.learn(list({p for pair in parts.values() for p in pair if p and p not in known}))
-        for word, (base, rest) in parts.items():
-            if rest or word != base:
-                known[word] = known[base] + known[rest] if rest else known[base]
-        out = [b"".join([known[w] for w in words]) for words in split]
-        for i in odd:
-            out[i] = np.array(self.ids([texts[i]])[0], "<u4").tobytes()
-        return out
+        for a in range(0, len(bases), LEARNED_AT_ONCE):
+            part = bases[a : a + LEARNED_AT_ONCE]
+            plain = [w for w in part if w.isalpha()]
+            ids = np.array(self.ids([" ".join(plain)])[0] if plain else [], np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(plain):
+                rest = [w for w in part if not w.isalpha()]
+            else:  # a run of letters that the tokenizer parts or joins
+                plain, rest, ids, stops = [], part, ids[:0], stops[:0]
+            got = self.ids(rest)
+            first = len(self.numbers)
+            self.numbers.update(zip([*plain, *rest], range(first, first + len(part)), strict=True))
+            sizes = np.concatenate([np.diff(stops, prepend=0), np.array([len(x) for x in got], np.int64)])
+            self.ids_of = np.concatenate([self.ids_of, ids, np.array([i for x in got for i in x], np.uint32)])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+
+    def numbered(self, bases: pa.Array) -> np.ndarray:
+        """The number of each base, those not seen before encoded first."""
+        coded = bases.dictionary_encode()
+        names, numbers = coded.dictionary.to_pylist(), self.numbers
+        self.learn([w for w in names if w not in numbers])
+        return np.fromiter(map(numbers.__getitem__, names), np.int32, len(names))[coded.indices.to_numpy()]
+
+    def parts(self, runs: pa.Array) -> np.ndarray:
+        """(n, 2) numbers of what each run is made of: a base and the punctuation behind it."""
+        base = pc.utf8_rtrim(runs, TRAILING)
+        cut = pc.and_(pc.not_equal(pc.binary_length(base), pc.binary_length(runs)), pc.match_substring_regex(base, CLOSED))
+        base = pc.if_else(cut, base, runs)
+        behind = np.zeros(len(runs), np.int32)
+        at = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+        pairs = zip(runs.take(pa.array(at)).to_pylist(), base.take(pa.array(at)).to_pylist(), strict=True)
+        behind[at] = self.numbered(pa.array([r[len(b) :] for r, b in pairs], pa.large_string()))
+        return np.stack([self.numbered(pc.if_else(pc.ascii_is_alpha(base), pc.ascii_lower(base), base)), behind], 1)
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and how many each text has."""
+        if not self.by_runs:
+            got = self.ids(texts.to_pylist())
+            return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
+        if len(self.numbers) > REMEMBERED:
+            self.forget()
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        bases = self.parts(coded.dictionary)
+        stops = 2 * (split.offsets.to_numpy() - split.offsets[0].as_py())
+        bases = bases[coded.indices.to_numpy()].ravel()
+        sizes = np.diff(self.starts).astype(np.int32)[bases]
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        # The places of a base's ids: from its start on, as far as the next.
+        some = np.flatnonzero(sizes)
+        steps = np.ones(int(ends[-1]), np.int32)
+        begin, last = self.starts[bases[some]], (self.starts[1:] - 1)[bases[some]]
+        steps[ends[some]] = begin - np.concatenate([[0], last[:-1]])
+        return self.ids_of[np.cumsum(steps, dtype=np.int32)], np.diff(ends[stops])
 
 
 @cache
@@ -255,12 +308,10 @@ def vocabulary(name: str = VOCABULARY) -> str:
 
 
 def writer(folder: str, vocabulary_path: str | None, end_id: int, shard_tokens: int):
-    end = struct.pack("<I", end_id)
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition, made = TaskContext.get().partitionId(), []
         encode_all = encoder(vocabulary_path or vocabulary()).encode_all
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         docs: list = []
         counts: list[int] = []
         size = 0
@@ -268,26 +319,37 @@ def writer(folder: str, vocabulary_path: str | None, end_id: int, shard_tokens:
         def flush() -> None:
             nonlocal size
             name = f"shard-{partition:06d}-{len(made):06d}.wm"
-            put(f"{folder}/{name}", pack(np.frombuffer(b"".join(held), "<u4"), docs, counts))
+            put(f"{folder}/{name}", pack(np.concatenate(held), docs, counts))
             made.append((name, partition, len(made), len(docs), size))
             held.clear()
             docs.clear()
             counts.clear()
             size = 0
 
-        for rows in batches:
-            for a in range(0, len(rows), 256):
-                part = rows.iloc[a : a + 256]
-                for doc_id, known, data in zip(part["doc_id"], part["known"], encode_all(part["text"].tolist()), strict=True):
-                    held.append(data + end)
-                    docs.append(int(doc_id) if known else None)
-                    counts.append(len(data) // 4 + 1)
-                    size += counts[-1]
+        for batch in batches:
+            texts, sizes = batch.column("text"), np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy())
+            names = [d if known else None for d, known in zip(batch.column("doc_id").to_pylist(), batch.column("known").to_pylist(), strict=True)]
+            a = 0
+            while a < len(names):
+                b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + SPLIT_BYTES, "right")))
+                ids, many = encode_all(texts.slice(a, b - a))
+                stops = np.cumsum(many)
+                ids, many, stops = np.insert(ids, stops, np.uint32(end_id)), many + 1, stops + np.arange(1, len(many) + 1)
+                c, begin = 0, 0
+                while c < len(many):  # a shard ends with the document that fills it
+                    d = min(len(many), int(np.searchsorted(stops, begin + shard_tokens - size, "left")) + 1)
+                    end = int(stops[d - 1])
+                    held.append(ids[begin:end])
+                    docs.extend(names[a + c : a + d])
+                    counts.extend(many[c:d].tolist())
+                    size, c, begin = size + end - begin, d, end
                     if size >= shard_tokens:
                         flush()
+                a = b
         if docs:
             flush()
-        yield pd.DataFrame(made, columns=["file", "partition", "nth", "n_docs", "n_ids"])
+        columns = zip(*made, strict=True) if made else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["file", "partition", "nth", "n_docs", "n_ids"])
 
     return write
 
@@ -298,7 +360,7 @@ def write_token_shards(docs: DataFrame, folder: str, vocabulary_path: str | None
     at = F.coalesce("doc_id", F.lit(-(2**63))).cast("long")
     rows = docs.select(at.alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), whole_text().alias("text"))
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "known", "text")
-    return settle(rows.mapInPandas(writer(folder, vocabulary_path, end_id, shard_tokens), "file string, partition int, nth int, n_docs long, n_ids long"), "token-manifest")
+    return settle(rows.mapInArrow(writer(folder, vocabulary_path, end_id, shard_tokens), "file string, partition int, nth int, n_docs long, n_ids long"), "token-manifest")
 
 
 def read_token_shards(manifest: DataFrame, folder: str) -> DataFrame:
