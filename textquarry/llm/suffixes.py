@@ -2,17 +2,18 @@
 
 Only suffixes that can matter are sorted. Of the GRAM-byte grams in each 200-byte window the one with the least hash is its
 anchor, so equal windows have equal anchors at equal offsets; a text has an anchor for about 70 bytes, and each anchor stands
-for the run of windows that chose it. Anchors whose whole run (bytes and offsets) stands elsewhere too are settled by a
-count. Those whose gram is repeated but whose run isn't, at the edges of copies, are compared by their suffixes:
+for the run of windows that chose it. An anchor whose gram stands nowhere else has no repeated window and is left out; all others
+are compared by their suffixes:
 
 - each task sorts the suffixes behind its anchors into runs and front-codes them (common-prefix length, rest);
-- runs are exchanged by ranges of the gram's hash and merged with a loser tree whose nodes keep the prefix a loser has in
-  common with the winner, so no known prefix is compared again;
+- runs are exchanged by ranges of the gram's hash, with splitters from a sample, and merged with a loser tree whose nodes keep the
+  prefix a loser has in common with the winner, so no known prefix is compared again;
 - common prefixes of neighbours in merged order tell which anchors share the bytes behind them for each offset, and the same
   for the reversed bytes before; a window is repeated if another anchor shares both for its offset.
 
-Within a task, repeats of a run are settled at once and one row goes on for all of them, so a passage that a third of
-all texts share sends a row for each batch. Texts are read as UTF-8; matches don't cross texts. Null and empty texts have no
+Hashes only decide where to look; every removal is proved by bytes. Anchors of one slice of texts (SLICE_BYTES) whose run is the same,
+bytes and offsets, are repeats of each other; one of them goes on for all, so a passage that a third of all texts share sends a row for
+each slice. Texts are read as UTF-8; matches don't cross texts. Null and empty texts have no
 bytes; texts below 200 bytes keep everything; rows with equal id and text are repeats of each other; long texts are cut into
 overlapping blocks. An empty table gives an empty result. Only doc_id and text are read.
 """
@@ -25,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,10 +36,12 @@ LENGTH, GRAM = 200, 64
 #: Grams in a window, and the largest offset of an anchor in it.
 WIDTH = LENGTH - GRAM + 1
 BLOCK = 1 << 20
-#: Texts whose anchors are made at once.
-SLICE = 1000
+#: Bytes of texts whose anchors are made at once.
+SLICE_BYTES = 4 << 20
 #: Suffixes sorted into one run, and suffixes merged by one task on average.
 RUN_ROWS, MERGE_ROWS = 50_000, 40_000
+#: Sampled grams for each splitter.
+SAMPLED = 32
 _STEP = np.uint64(int(np.random.default_rng(7).integers(1, 1 << 63)) | 1)
 _BYTE = np.random.default_rng(8).integers(1, 1 << 63, 256, np.uint64)
 _PLACE = np.uint64((1 << 30) - 1)
@@ -72,42 +74,60 @@ def anchors(data: bytes, base: int = 0) -> tuple[np.ndarray, ...]:
     return h[at].view(np.int64), at + base, at - last, at - first
 
 
+def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int, int, int, bytes]]]:
+    """Slices of (doc, mark, place, bytes): blocks of texts that overlap by a window less a byte."""
+    held: list[tuple[int, int, int, bytes]] = []
+    size = 0
+    for rows in batches:
+        for doc, mark, text in zip(rows["doc"], rows["mark"], rows["text"], strict=True):
+            data = text.encode("utf-8", "replace")
+            for a in range(0, max(0, len(data) - LENGTH + 1), BLOCK):
+                held.append((doc, mark, a, data[a : a + BLOCK + LENGTH - 1]))
+                size += len(held[-1][3])
+                if size >= SLICE_BYTES:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
+
+
 def anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The anchors of each text; kind 1 marks those that a row of the same slice settles."""
+    """The anchors of each text; kind 1: another one of the slice has the same run and goes on for it."""
     with np.errstate(over="ignore"):
-        for rows in (batch.iloc[a : a + SLICE] for batch in batches for a in range(0, len(batch), SLICE)):
+        for held in pieces(batches):
             parts: list[tuple] = []
-            runs: list[int] = []
-            for doc, mark, text in zip(rows["doc"], rows["mark"], rows["text"], strict=True):
-                data = text.encode("utf-8", "replace")
-                for a in range(0, max(0, len(data) - LENGTH + 1), BLOCK):
-                    gram, at, low, high = anchors(data[a : a + BLOCK + LENGTH - 1], a)
-                    runs += [xxhash.xxh3_64_intdigest(data[p - y : p - x + LENGTH], x << 8 | y) for p, x, y in zip(at.tolist(), low.tolist(), high.tolist(), strict=True)]
-                    parts.append((gram, np.full(len(at), doc), np.full(len(at), mark), at, low, high))
-            if not parts:
-                continue
+            first: dict[tuple[bytes, int, int], int] = {}
+            run: list[int] = []
+            for doc, mark, a, data in held:
+                gram, at, low, high = anchors(data, a)
+                run += [first.setdefault((data[p - y - a : p - x - a + LENGTH], x, y), len(first)) for p, x, y in zip(at.tolist(), low.tolist(), high.tolist(), strict=True)]
+                parts.append((gram, np.full(len(at), doc), np.full(len(at), mark), at, low, high))
             gram, doc, mark, at, low, high = (np.concatenate(p) for p in zip(*parts, strict=True))
-            run = np.array(runs, np.uint64).view(np.int64)
-            order = np.lexsort((run, gram))
-            new = np.r_[True, (gram[order][1:] != gram[order][:-1]) | (run[order][1:] != run[order][:-1])]
-            group = np.cumsum(new) - 1
-            times, lead = np.empty(len(order), np.int64), np.empty(len(order), bool)
-            times[order], lead[order] = np.bincount(group)[group], new
-            # Followers are settled; they travel by their own place, not by the gram that they share.
-            key = np.where(lead, gram, gram ^ (doc * 1_000_003 + at) * np.int64(0x1E3779B97F4A7C15))
-            yield pd.DataFrame({"gram": key, "run": run, "kind": np.where(lead, 0, 1), "times": np.minimum(times, 2), "doc": doc, "mark": mark, "at": at.astype(np.int32), "low": low.astype(np.int16), "high": high.astype(np.int16)})
+            _, lead, group, times = np.unique(np.array(run), return_index=True, return_inverse=True, return_counts=True)
+            follows = np.ones(len(gram), bool)
+            follows[lead] = False
+            # Followers travel by their own place, not by the gram that they share.
+            key = np.where(follows, gram ^ (doc * 1_000_003 + at) * np.int64(0x1E3779B97F4A7C15), gram)
+            yield pd.DataFrame({"gram": key, "kind": follows.astype(np.int32), "settled": times[group] > 1, "doc": doc, "mark": mark, "at": at.astype(np.int32), "low": low.astype(np.int16), "high": high.astype(np.int16)})
 
 
-ANCHOR = "gram long, run long, kind int, times long, doc long, mark long, at int, low short, high short"
+ANCHOR = "gram long, kind int, settled boolean, doc long, mark long, at int, low short, high short"
 
 
 def interesting(texts: DataFrame) -> DataFrame:
-    """The anchors that are repeated (settled) or may be in part; partner: stands for its run when others compare."""
+    """The anchors that are repeated within their slice (settled), or whose gram stands elsewhere too (compared)."""
     rows = texts.where(F.octet_length("text") >= LENGTH).mapInPandas(anchor_rows, ANCHOR)
-    by_gram, by_run = Window.partitionBy("kind", "gram"), Window.partitionBy("kind", "gram", "run")
-    rows = rows.withColumn("mixed", F.min("run").over(by_gram) != F.max("run").over(by_gram))
-    rows = rows.withColumn("settled", F.sum("times").over(by_run) > 1).withColumn("partner", F.col("mixed") & (F.row_number().over(by_run.orderBy("doc", "mark", "at")) == 1))
-    return rows.where(F.col("settled") | F.col("mixed")).select("doc", "mark", "gram", "at", "low", "high", "settled", "partner")
+    many = F.count(F.lit(1)).over(Window.partitionBy("kind", "gram"))
+    rows = rows.withColumn("compared", (F.col("kind") == 0) & (many > 1))
+    return rows.where(F.col("settled") | F.col("compared")).select("doc", "mark", "gram", "at", "low", "high", "settled", "compared")
+
+
+def gram_splitters(found: DataFrame, tasks: int, compared: int) -> np.ndarray:
+    """Where ranges of grams begin: quantiles of a sample of SAMPLED grams a task, so that a frequent gram doesn't share its range with many others."""
+    rate = min(1.0, SAMPLED * tasks / max(1, compared))
+    drawn = found.where(F.col("compared") & (F.pmod(F.xxhash64("gram", "doc", "mark", "at"), F.lit(1 << 40)) < int(rate * (1 << 40)))).select("gram").toPandas()["gram"].to_numpy(np.int64)
+    grams = np.sort(drawn.view(np.uint64))
+    return np.unique(grams[np.arange(1, tasks) * len(grams) // tasks]) if len(grams) else grams
 
 
 def common(a: bytes, b: bytes, k: int) -> int:
@@ -127,14 +147,14 @@ def front_coded(keys: list[bytes]) -> tuple[list[int], list[bytes]]:
     return lcps, [k[n:] for k, n in zip(keys, lcps, strict=True)]
 
 
-def runs(batches: Iterator[pd.DataFrame], tasks: int) -> Iterator[pd.DataFrame]:
+def runs(batches: Iterator[pd.DataFrame], splitters: np.ndarray) -> Iterator[pd.DataFrame]:
     """Sorted, front-coded runs of suffixes, one blob for each task they go to."""
     press, held = zstandard.ZstdCompressor(level=1), []
 
     def flush() -> pd.DataFrame:
         held.sort(key=lambda r: r[0])
         out, a = [], 0
-        to = [int.from_bytes(r[0][:8], "big") * tasks >> 64 for r in held]
+        to = np.searchsorted(splitters, np.frombuffer(b"".join(r[0][:8] for r in held), ">u8").astype(np.uint64), "right").tolist()
         while a < len(held):
             b = a
             while b < len(held) and to[b] == to[a]:
@@ -212,7 +232,7 @@ class LoserTree:
 
 
 def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Merges a task's runs and yields the repeated stretches of anchors that no count has settled."""
+    """Merges a task's runs and yields the repeated stretches of anchors that their slice hasn't settled."""
     open_ = zstandard.ZstdDecompressor()
     loaded = [pickle.loads(open_.decompress(r)) for rows in batches for r in rows["run"]]
     if not loaded:
@@ -293,8 +313,8 @@ def removals(docs: DataFrame) -> DataFrame:
     spark, nobody = docs.sparkSession, -(2**63)
     texts = docs.select(F.coalesce("doc_id", F.lit(nobody)).cast("long").alias("doc"), F.xxhash64(whole_text()).alias("mark"), whole_text().alias("text"))
     found = settle(interesting(texts), "anchors")
-    compared = found.where("not settled or partner").count()
-    by_doc = found.groupBy("doc", "mark").agg(F.collect_list(F.struct("gram", "at", "low", "high", "settled", "partner")).alias("found"))
+    compared = found.where("compared").count()
+    by_doc = found.groupBy("doc", "mark").agg(F.collect_list(F.struct("gram", "at", "low", "high", "settled", "compared")).alias("found"))
     joined = texts.join(by_doc, ["doc", "mark"], "left")
     # One join with the texts: those without anchors are done, of the others the bytes are kept beside their anchors.
     text, hit = F.col("text"), F.col("found").isNotNull()
@@ -304,8 +324,9 @@ def removals(docs: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     whole = state.where("found is null").select("doc", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha").alias("kept_sha256"))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-compared // MERGE_ROWS))
-    compare = touched.withColumn("x", F.filter("found", lambda x: ~x["settled"] | x["partner"])).where(F.size("x") > 0)
-    sent = compare.select("doc", "mark", "body", *[F.col(f"x.{c}").alias(c) for c in ("gram", "at", "low", "high", "settled")]).mapInPandas(lambda it: runs(it, tasks), "task int, run binary")
+    splitters = gram_splitters(found, tasks, compared)
+    compare = touched.withColumn("x", F.filter("found", lambda x: x["compared"])).where(F.size("x") > 0)
+    sent = compare.select("doc", "mark", "body", *[F.col(f"x.{c}").alias(c) for c in ("gram", "at", "low", "high", "settled")]).mapInPandas(lambda it: runs(it, splitters), "task int, run binary")
     more = sent.repartitionById(tasks, "task").mapInPandas(merged, "doc long, mark long, start long, end long")
     more = more.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "end")).alias("more"))
     done = F.filter("found", lambda x: x["settled"])
