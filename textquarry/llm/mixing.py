@@ -4,8 +4,9 @@ Every row gets a hash-random key; within each source rows are ordered by that ke
 then row) gives the words before each row, and each source is cut where its budget ends. Whole epochs come first, the
 last one is partial. Everything is built-in DataFrame work on (id, source, size); texts are read once, for their size.
 
-Null ids share the key of the empty text, null texts have size 0, null sources form the last source. Equal rows are
-interchangeable. An empty table gives an empty result. Columns of the input beside the ones named are not looked at.
+Rows without an id are keyed by their text, null texts have size 0, null sources form the last source. Rows that share an id follow each
+other and are taken one by one; equal rows are interchangeable. An empty table gives an empty result. Columns of the input beside
+the ones named are not looked at; mix() passes them through.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from .shared import SPACED_WORD, settle, table, whole_text
 BUCKET_DIGITS = 3
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, key (32 hex digits) and its bucket."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    return docs.select("doc_id", "source", F.regexp_count(whole_text(), F.lit(SPACED_WORD)).cast("long").alias("size"), key.alias("key")).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, size in words, key (32 hex digits) and its bucket; more: further columns to keep."""
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(whole_text().cast("binary")))).cast("binary"))
+    return docs.select(*more, "doc_id", "source", F.regexp_count(whole_text(), F.lit(SPACED_WORD)).cast("long").alias("size"), key.alias("key")).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
 
 
 def source_targets(rows: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -47,29 +48,31 @@ def source_targets(rows: DataFrame, weights: Sequence[int] = (5, 2, 1), share: f
     return ranked.withColumn("final", F.first(free, ignorenulls=True).over(everything)).select("source", "source_size", F.when(F.col("reach") > F.col("level"), F.col("weight") * F.col("final")).otherwise(F.col("ceiling")).alias("target"))
 
 
-def mix_plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies, taken: how often the mix takes each row (0 to most)."""
-    rows = settle(sized(docs), "mix-sizes").withColumn("has", F.col("source").isNotNull()).withColumn("named", F.coalesce("source", F.lit("")))
+def mix_plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: int = 2, more: Sequence[str] = ()) -> DataFrame:
+    """doc_id, size, source, source_size, target, copies, taken: how often the mix takes each row (0 to most); more: further columns to keep."""
+    rows = settle(sized(docs, *more), "mix-sizes").withColumn("has", F.col("source").isNotNull()).withColumn("named", F.coalesce("source", F.lit("")))
     group = ["has", "named"]
     targets = source_targets(rows, weights, share, most).select(F.col("source").isNotNull().alias("has"), F.coalesce("source", F.lit("")).alias("named"), "source_size", "target")
     buckets = rows.groupBy(*group, "bucket").agg(F.sum("size").alias("in_bucket"))
     ahead = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("ahead", F.coalesce(F.sum("in_bucket").over(ahead), F.lit(0))).join(targets, group).drop("in_bucket")
-    within = Window.partitionBy(*group, "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*group, "bucket").orderBy("key", "doc_id", "size", *more).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("upto", F.sum("size").over(within)).join(buckets, [*group, "bucket"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rows = rows.withColumn("epochs", epochs)
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     middle = F.col("ahead") + F.col("upto") - F.col("size") / 2.0
     rows = rows.withColumn("copies", (F.col("epochs") + F.when((rest > 0) & (middle <= rest), 1).otherwise(0)).cast("long"))
-    return rows.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.select(*more, "doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as mix_plan takes it; rows with one id all follow the one taken most."""
-    plan = mix_plan(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies"))
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("_mix_id")))
-    return joined.withColumn("_mix_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_copies")))).select(*[docs[c] for c in docs.columns])
+    """The mix itself: the rows of docs, each as often as mix_plan takes it."""
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = settle(docs.select(every.alias("doc"), F.monotonically_increasing_id().alias("row")), "mix-rows", "zstd")
+    plan = mix_plan(rows.select("row", *[F.col("doc").getField(c).alias(c) for c in ("doc_id", "source", "text")]), more=["row"], **options)
+    taken = rows.join(plan.where("copies > 0").select("row", "copies"), "row")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
@@ -78,7 +81,7 @@ def op9_mixing(spark, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH rows AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), 'text:' || md5(coalesce(text, '')))) AS key
   FROM documents),
 by_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rnk FROM by_source),
