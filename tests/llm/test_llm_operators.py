@@ -131,6 +131,53 @@ def test_fingerprints(docs, rows, nothing):
     assert long_ and all(0.5 <= x["near_edited"] <= 1 for x in long_)
 
 
+def gear_chunks(data: bytes) -> dict[bytes, int]:
+    """The rules byte by byte: the hash of the last 32 bytes, least, usual and most sizes, and the opening."""
+    out, start, h, gear = {}, 0, 0, fingerprint.GEAR.tolist()
+    for i, byte in enumerate(data):
+        h = (h * 2 + gear[byte]) % 2**32
+        size, zeros = i + 1 - start, 32 - h.bit_length()
+        opening = i < fingerprint.OPENING and start < fingerprint.OPENING
+        ends = opening and size >= fingerprint.LEAST_THERE and zeros >= fingerprint.OPEN_BITS
+        later = not (start < fingerprint.OPENING and any_open(data, start, gear))
+        ends = ends or later and (size >= fingerprint.MOST or zeros >= (fingerprint.LOOSE_BITS if size >= fingerprint.USUAL else fingerprint.STRICT_BITS) and size >= fingerprint.LEAST)
+        if ends or i + 1 == len(data):
+            out[data[start : i + 1]] = size
+            start = i + 1
+    return out
+
+
+def any_open(data: bytes, start: int, gear: list[int]) -> bool:
+    """Whether the opening has a boundary for the chunk that starts here."""
+    h = 0
+    for i, byte in enumerate(data[: fingerprint.OPENING]):
+        h = (h * 2 + gear[byte]) % 2**32
+        if i + 1 - start >= fingerprint.LEAST_THERE and 32 - h.bit_length() >= fingerprint.OPEN_BITS:
+            return True
+    return False
+
+
+def test_fingerprints_equal_the_rules_byte_by_byte():
+    r = random.Random(14)
+    texts = ["", "a", "ab" * 200, "é" * 90, *("".join(r.choice("abcdefgh é\n") for _ in range(r.choice([5, 20, 60, 95, 97, 300, 2000]))) for _ in range(60))]
+    sets = [gear_chunks(t.encode()) for t in texts]
+    for t, want in zip(texts, sets, strict=True):
+        assert sorted(fingerprint.read_back(fingerprint.fingerprint(t)).values()) == sorted(want.values())
+    for t, x, u, y in zip(texts, sets, texts[1:], sets[1:], strict=False):
+        shared = sum(n for c, n in x.items() if c in y)
+        want = shared / min(sum(x.values()), sum(y.values())) if x and y else float(not x and not y)
+        assert fingerprint.likeness(*(fingerprint.read_back(fingerprint.fingerprint(z)) for z in (t, u))) == pytest.approx(want)
+
+
+def test_short_texts_keep_a_likeness_to_their_edited_ones():
+    r = random.Random(2)
+    near = []
+    for _ in range(300):
+        t = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(r.randint(20, 60)))
+        near.append(fingerprint.likeness(*(fingerprint.read_back(fingerprint.fingerprint(x)) for x in (t, fingerprint.edited(t, "zq" * 40)))))
+    assert sum(near) / len(near) > 0.4 and sum(x == 0 for x in near) < 0.15 * len(near)
+
+
 def test_shifts_keep_chunks():
     r = random.Random(1)
     text = " ".join(str(r.random()) for _ in range(300))
@@ -159,6 +206,39 @@ def test_shards_split_a_hot_text(spark):
     assert len(sizes) == 6 and max(sizes) < 1.1 * min(sizes)
 
 
+def test_shards_are_near_equal_and_keep_groups(spark):
+    """Mixed sizes and groups of equal texts of all sizes, some above a twentieth of a shard: each within one shard, sizes near equal."""
+    r = random.Random(31)
+    made = []
+    for g in range(400):
+        text = f"{g} " + "x" * int(r.paretovariate(1.2) * 40)
+        made += [(len(made) + k, text[:20_000]) for k in range(r.choice([1, 1, 1, 2, 5, 30]))]
+    made += [(10**6 + i, "hot " * 20) for i in range(5000)]
+    plan = sharding.shard_plan(spark.createDataFrame(made, "doc_id long, text string").repartition(7), 8).collect()
+    bytes_of, where = collections.Counter(), collections.defaultdict(set)
+    text_of = dict(made)
+    for p in plan:
+        bytes_of[p["shard"]] += p["size"]
+        where[text_of[p["doc_id"]]].add(p["shard"])
+    share = sum(bytes_of.values()) / 8
+    assert len(bytes_of) == 8 and max(bytes_of.values()) <= 1.05 * share and min(bytes_of.values()) >= 0.95 * share
+    assert all(len(s) == 1 for t, s in where.items() if t != "hot " * 20) and len(where["hot " * 20]) <= 5000 * 88 / share + 2
+
+
+def test_mix_takes_rows_of_one_id_one_by_one(spark):
+    """Null and repeated ids: the mix takes each row as the plan says, and no source passes its target by more than a document."""
+    rows = [(None if i % 3 == 0 else i % 7, f"text {i} " * (1 + i % 5), f"s{i % 2}") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.mix_plan(df).collect()
+    want, target = collections.Counter(), {p["source"]: p["target"] for p in plan}
+    for p in plan:
+        want[p["source"]] += p["taken"]
+    found = collections.Counter()
+    for x in mixing.mix(df).collect():
+        found[x["source"]] += len(WORD.findall(x["text"]))
+    assert found == want and all(abs(found[s] - target[s]) <= 10 for s in target)
+
+
 def brute_mix(rows):
     sizes = collections.defaultdict(int)
     for r in rows:

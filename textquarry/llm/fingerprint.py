@@ -1,14 +1,15 @@
 """Document fingerprints by content-defined chunking.
 
 A gear hash over the last 32 bytes sets the boundaries, normalised: few bits must vanish after the usual chunk
-size, more before it, so sizes gather around it. A fingerprint is the set of chunk digests with their lengths; since
+size, more before it, so sizes gather around it. Within the first OPENING bytes chunks may be smaller and end more often, so that a text of
+some words has several too. A fingerprint is the set of 64-bit chunk digests with their lengths; since
 boundaries depend on nearby bytes alone, an edit or a shift changes the chunks around it and no others. Likeness is
 containment: the bytes of the shared chunks over those of the smaller set.
 
 Null texts are empty; an empty text has the empty fingerprint, which is like itself only. Equal texts have equal
 fingerprints. "Next" is the next row by (id, text), null ids first, after the last the first; a table of one row is its own
-next; an empty table gives an empty result. Texts are streamed in that order, one partition a range of ids, each range
-followed by a copy of the next one's first row.
+next; an empty table gives an empty result. Texts are streamed in that order, one partition a range of ids (more of them for more
+rows), each range followed by a copy of the next one's first row. Rows that share an id stay in one partition.
 """
 
 from __future__ import annotations
@@ -28,21 +29,25 @@ from pyspark.sql import functions as F
 from .shared import table, whole_text
 
 LEAST, USUAL, MOST = 8, 24, 96
-#: Hash bits that must be 0 at a boundary, before and after the usual size.
-STRICT_BITS, LOOSE_BITS = 6, 3
+#: Where a text opens, and the least size there.
+OPENING, LEAST_THERE = 96, 4
+#: Hash bits that must be 0 at a boundary, before and after the usual size, and in the opening.
+STRICT_BITS, LOOSE_BITS, OPEN_BITS = 6, 3, 2
+#: Rows in a partition, about.
+PART_ROWS = 20_000
 LAG = 32
 #: The gear table: 256 fixed random values, from a seed.
 GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, np.uint32)
 
 
-def boundaries_at(data: np.ndarray) -> tuple[list[int], list[int]]:
-    """Places after which the strict and the loose rule allow a boundary."""
+def boundaries_at(data: np.ndarray, opening: int) -> tuple[list[int], list[int], list[int]]:
+    """Places after which the strict, the loose and (in the first bytes) the opening's rule allow a boundary."""
     h = GEAR[data]
     for lag in (1, 2, 4, 8, 16):
         h[lag:] += h[:-lag] << np.uint32(lag)
     loose = np.flatnonzero(h >> np.uint32(32 - LOOSE_BITS) == 0)
     strict = loose[h[loose] >> np.uint32(32 - STRICT_BITS) == 0]
-    return (strict + 1).tolist(), (loose + 1).tolist()
+    return (strict + 1).tolist(), (loose + 1).tolist(), (np.flatnonzero(h[: max(0, opening)] >> np.uint32(32 - OPEN_BITS) == 0) + 1).tolist()
 
 
 def cuts(data: bytes, done: list[int] | None = None) -> list[int]:
@@ -50,9 +55,14 @@ def cuts(data: bytes, done: list[int] | None = None) -> list[int]:
     out, n = list(done or ()), len(data)
     pos = out[-1] if out else 0
     skip = max(0, pos - LAG)
-    strict, loose = boundaries_at(np.frombuffer(data, np.uint8)[skip:])
+    strict, loose, early = boundaries_at(np.frombuffer(data, np.uint8)[skip:], OPENING - skip)
     while pos < n:
         near, far = pos + USUAL - skip, min(pos + MOST, n)
+        i = bisect_left(early, pos + LEAST_THERE - skip)
+        if pos < OPENING and i < len(early):
+            pos = early[i] + skip
+            out.append(pos)
+            continue
         i = bisect_left(strict, pos + LEAST - skip)
         if i < len(strict) and strict[i] < near:
             pos = strict[i] + skip
@@ -67,17 +77,17 @@ def chunk_set(data: bytes, ends: list[int]) -> dict[int, int]:
     """digest: length."""
     out, a = {}, 0
     for b in ends:
-        out[xxhash.xxh32_intdigest(data[a:b])] = b - a
+        out[xxhash.xxh3_64_intdigest(data[a:b])] = b - a
         a = b
     return out
 
 
 def written(chunks: dict[int, int]) -> str:
-    return base64.b64encode(b"".join(struct.pack(">IB", d, n) for d, n in sorted(chunks.items()))).decode()
+    return base64.b64encode(b"".join(struct.pack(">QB", d, n) for d, n in sorted(chunks.items()))).decode()
 
 
 def read_back(fingerprint: str) -> dict[int, int]:
-    return dict(struct.iter_unpack(">IB", base64.b64decode(fingerprint)))
+    return dict(struct.iter_unpack(">QB", base64.b64decode(fingerprint)))
 
 
 def likeness(a: dict[int, int], b: dict[int, int]) -> float:
@@ -102,7 +112,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     """at, known, text, tail: partitions hold ascending ranges of ids, each with the next range's first id (tail) behind it."""
     at = F.coalesce("doc_id", F.lit(-(2**63))).cast("long")
     rows = docs.select(at.alias("at"), F.col("doc_id").isNotNull().alias("known"), whole_text().alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // PART_ROWS))
     low, marks = rows.agg(F.min("at"), F.percentile_approx("at", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()
     if low is None:
         return rows.withColumn("tail", F.lit(0))
