@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from textquarry.operators import retrieval
 from test_queries import DIR, TABLES, canonical
 
-WHOLE = ["term_statistics", *(q for q in entry.queries() if q.endswith("_whole"))]
+WHOLE = ["term_statistics", "df_idf", "macro_metrics", "judged_coverage", "set_complementarity", "fusion_gains", "best_setting", "trec_qrels", "permutation_test", "bootstrap_ci", "convex_fusion", "query_features", "rrf_fusion"]
 
 
 @pytest.fixture
@@ -24,11 +24,11 @@ def small(spark, tmp_path):
 
 
 def test_all_documents_are_judged(spark, small):
-    lines = {r["value"] for r in entry.queries()["trec_qrels_whole"](spark, small).collect()}
+    lines = {r["value"] for r in entry.queries()["trec_qrels"](spark, small).collect()}
     assert lines == {"0 0 1 2", "0 0 2 1", "0 0 3 1", "0 0 7 2"}  # 4 and 5 are unjudged
-    got = {r["run"]: (r["judged"], r["shown"]) for r in entry.queries()["judged_coverage_whole"](spark, small).collect()}
+    got = {r["run"]: (r["judged"], r["shown"]) for r in entry.queries()["judged_coverage"](spark, small).collect()}
     assert got == {"bm25": (4, 5), "overlap": (4, 5)}  # document 4 is shown and unjudged
-    assert {r["recall_50"] for r in entry.queries()["ranking_metrics_whole"](spark, small).collect()} == {1.0}
+    assert {r["recall_50"] for r in entry.queries()["ranking_metrics"](spark, small).collect()} == {1.0}
 
 
 def test_statistics_of_all_terms(spark, small):
@@ -43,10 +43,10 @@ def test_statistics_of_all_terms(spark, small):
 
 
 def test_rounds_and_grid(spark, small):
-    assert {r["alpha"] for r in entry.queries()["convex_fusion_whole"](spark, small).collect()} == {n / 20 for n in range(1, 20)}
-    p = entry.queries()["permutation_test_whole"](spark, small).first()["p"]
+    assert {r["alpha"] for r in entry.queries()["convex_fusion"](spark, small).collect()} == {n / 20 for n in range(1, 20)}
+    p = entry.queries()["permutation_test"](spark, small).first()["p"]
     assert p == 1.0 or abs(p * 10_001 - round(p * 10_001)) < 0.01
-    assert "range(10000)" in entry.oracle_sql()["permutation_test_whole"] and "range(10000)" in entry.oracle_sql()["bootstrap_ci_whole"]
+    assert "range(10000)" in entry.oracle_sql()["permutation_test"] and "range(10000)" in entry.oracle_sql()["bootstrap_ci"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")

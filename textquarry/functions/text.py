@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from .unicode import casefold, digit_class, nfc
 
 # Patterns and character lists that results depend on.
 SPACE = "\\t-\\r\\x1c-\\x20\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+OTHER_SPACE = SPACE.replace("\\x1c-\\x20", "\\x1c-\\x1f")
 LATIN = "[A-Za-zÀ-ž]"
 CYRILLIC = "[\\u0400-\\u04FF]"
 APOSTROPHES = ("'", "’", "‘", "ʻ", "ʼ", "`", "´", "ʹ", "ʽ")
@@ -21,6 +24,8 @@ WIKI_MARKUP = "(?iu)(?:\\blink=|\\bFayl:|upload\\.wikimedia|wikimedia\\.org|\\bf
 WIKI_RESIDUE = "(?iu)(?:\\blink=|\\bFayl:|\\bFile:|\\bImage:|upload\\.wikimedia|wikimedia\\.org|\\bframeless\\b|\\bthumb\\b|\\balt=|[0-9]{2,4}x[0-9]{2,4}px)"
 URL_MARKUP = "(?iu)(?:https?://|www\\.|%[0-9A-F]{2})"
 URL = "(?iu)\\b(?:https?://|www\\.)\\S*"
+#: Each match of the markup patterns holds one of these in lower case (the last three are an s and an i to patterns, not to lower case).
+MARKUP_HINTS = ("link=", "fayl:", "file:", "image:", "wikimedia", "frameless", "thumb", "alt=", "px", "http", "www.", "%", "____", "＿", "ſ", "ı", "i̇")
 REPEATED_DELIMITER = "(?:\\|{3,}|={4,}|-{6,}|_{8,}|\\.{6,})"
 
 
@@ -28,6 +33,11 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
+def chars_of(text: Column, kinds: str) -> Column:
+    """How many characters are of a class (without brackets): what is left when runs of all others go."""
+    return F.length(F.regexp_replace(text, f"[^{kinds}]+", "")).cast("long")
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """0 where there is nothing to divide by."""
     return F.when(whole != 0, part / whole).otherwise(F.lit(0.0))
@@ -47,7 +57,7 @@ def strip(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(text, f" [{SPACE}]+|[{OTHER_SPACE}][{SPACE}]*", " "))
 
 
 def normalize_text(text: Column) -> Column:
@@ -70,17 +80,16 @@ def layout_text(text: Column) -> Column:
 
 
 def latin_letters(text: Column) -> Column:
-    return matches(text, LATIN)
+    return chars_of(text, LATIN[1:-1])
 
 
 def cyrillic_letters(text: Column) -> Column:
-    return matches(text, CYRILLIC)
+    return chars_of(text, CYRILLIC[1:-1])
 
 
-def apostrophe_variants(text: Column) -> Column:
-    """The variants that occur, in code-point order, as one string."""
-    found = [F.when(text.contains(a), F.lit(a)) for a in sorted(APOSTROPHES)]
-    return F.concat_ws("", *found)
+def apostrophe_variants(text: Column, variants: Sequence[str] = tuple(sorted(APOSTROPHES))) -> Column:
+    """The variants that occur, in code-point order or the one given, as one string."""
+    return F.concat_ws("", *[F.when(text.contains(a), F.lit(a)) for a in variants])
 
 
 def script_class(text: Column) -> Column:
@@ -91,23 +100,42 @@ def script_class(text: Column) -> Column:
 
 
 def digits(text: Column) -> Column:
-    return matches(text, f"[{digit_class()}]")
+    return chars_of(text, digit_class())
 
 
 def letters(text: Column) -> Column:
-    return matches(text, "\\p{L}")
+    return chars_of(text, "\\p{L}")
 
 
 def spaces(text: Column) -> Column:
-    return matches(text, f"[{SPACE}]")
+    return chars_of(text, SPACE)
+
+
+def token_lengths(text: Column) -> Column:
+    """The length of each token, from which words, the longest token and long tokens are taken."""
+    return F.transform(tokens(text), F.length)
+
+
+def longest(lengths: Column) -> Column:
+    return F.coalesce(F.array_max(lengths), F.lit(0)).cast("long")
+
+
+def of_length(lengths: Column, least: int) -> Column:
+    return F.size(F.filter(lengths, lambda n: n >= least)).cast("long")
 
 
-def longest_token(text: Column) -> Column:
-    return F.coalesce(F.array_max(F.transform(tokens(text), F.length)), F.lit(0)).cast("long")
+def letter_digit_turns(text: Column, pattern: str = LETTER_DIGIT) -> Column:
+    """Turns between letters and digits; texts without a digit are not searched."""
+    return F.when(text.rlike("[0-9]"), matches(text, pattern)).otherwise(F.when(text.isNotNull(), F.lit(0).cast("long")))
 
 
-def tokens_of_length(text: Column, least: int) -> Column:
-    return matches(text, f"[^{SPACE}]{{{least},}}")
+def has_markup(text: Column, pattern: str) -> Column:
+    """Whether one of the markup patterns stands in the text; searched only where one of MARKUP_HINTS does."""
+    low = F.lower(text)
+    hint = low.contains(MARKUP_HINTS[0])
+    for part in MARKUP_HINTS[1:]:
+        hint = hint | low.contains(part)
+    return F.when(hint, text.rlike(pattern)).otherwise(F.when(text.isNotNull(), F.lit(False)))
 
 
 def stripped_lines(text: Column) -> Column:

@@ -9,12 +9,15 @@ import unicodedata
 from collections.abc import Callable
 from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: All text below U+0300 is in NFC already.
-MAY_NEED_NFC = "[^\\x00-\\u02ff]"
+#: Few ranges, as Java tries them one by one: text of these characters alone is in NFC (the test says so of each).
+SETTLED = "\\x00-\\u02ff\\u0400-\\u0482\\u048a-\\u052f\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf"
+#: Characters whose case folding is their lower case, wherever they stand; sharp s is among them, as casefold() replaces it.
+FOLDS_TO_LOWER = "\\x00-\\u00b4\\u00b6-\\u012f\\u0131-\\u0148\\u014a-\\u017e\\u0400-\\u052f\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf"
 
 
 def char_class(wanted: Callable[[str], bool]) -> str:
@@ -36,12 +39,6 @@ def digit_class() -> str:
     return r"\p{Nd}" + char_class(lambda c: c.isdigit() and unicodedata.category(c) != "Nd")
 
 
-@cache
-def special_fold_class() -> str:
-    """Characters whose case folding isn't their lower case, or whose lower case depends on their place."""
-    return char_class(lambda c: c.casefold() != c.lower() or c in "İΣ")
-
-
 def _mapped(function: Callable[[str], object], kind: str):
     @F.pandas_udf(kind)
     def udf(texts: pd.Series) -> pd.Series:
@@ -52,12 +49,12 @@ def _mapped(function: Callable[[str], object], kind: str):
 
 def nfc(text: Column) -> Column:
     """Normalisation form C; text that is in it for certain stays in the JVM."""
-    return F.coalesce(_mapped(lambda t: unicodedata.normalize("NFC", t), "string")(F.when(text.rlike(MAY_NEED_NFC), text)), text)
+    return F.coalesce(_mapped(lambda t: unicodedata.normalize("NFC", t), "string")(F.when(text.rlike(f"[^{SETTLED}]"), text)), text)
 
 
 def casefold(text: Column) -> Column:
     """Full case folding; only text with special characters leaves the JVM."""
-    return F.coalesce(_mapped(str.casefold, "string")(F.when(text.rlike(f"[{special_fold_class()}]"), text)), F.lower(text))
+    return F.coalesce(_mapped(str.casefold, "string")(F.when(text.rlike(f"[^{FOLDS_TO_LOWER}]"), text)), F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
 
 
 def stable_score(seed: int, scope: str | Column, key: Column) -> Column:
@@ -85,20 +82,27 @@ def char_names(char: Column) -> Column:
     return udf(char)
 
 
-HEAD_MARK, TAIL_MARK = "\n\n[...LONGEST TOKEN...]\n\n", "\n\n[...END...]\n\n"
+# What stands between the parts of an excerpt, the shares of its head and tail, and the room kept for the marks.
+FOCUS_MARK, TAIL_MARK = "\n\n[...FOCUS AROUND LONGEST TOKEN / MIDDLE...]\n\n", "\n\n[...TAIL...]\n\n"
+HEAD_SHARE, TAIL_SHARE, MARK_ROOM = 3, 4, 80
+
+
+def middle_of_longest(text: str) -> int:
+    """Where the middle of the first longest token stands; the middle of a text without tokens."""
+    lengths = [len(p) for p in re.split(r"(\s+)", text)]  # tokens at even places, white space between them
+    at = int(np.argmax(lengths[::2])) * 2
+    return sum(lengths[:at]) + lengths[at] // 2 if lengths[at] else len(text) // 2
 
 
 def excerpt(text: str, most: int) -> str:
-    """All of a short text; else its head, the surroundings of its longest token, and its tail."""
-    text = re.sub("\r\n?", "\n", text)
+    """A text of at most `most` characters as it is; else its head, what surrounds its longest token, and its tail."""
+    text = "\n".join(text.replace("\r\n", "\n").split("\r"))
     if len(text) <= most:
         return text
-    head, tail = most // 3, most // 4
-    focus = max(0, most - head - tail - 80)
-    longest = max(re.finditer(r"\S+", text), key=lambda m: m.end() - m.start(), default=None)
-    centre = (longest.start() + longest.end()) // 2 if longest else len(text) // 2
-    a = max(0, centre - focus // 2)
-    return f"{text[:head]}{HEAD_MARK}{text[a : a + focus]}{TAIL_MARK}{text[-tail:] if tail else ''}"
+    head, tail = text[: most // HEAD_SHARE], text[len(text) - most // TAIL_SHARE :]
+    room = max(0, most - len(head) - len(tail) - MARK_ROOM)
+    begin = max(0, middle_of_longest(text) - room // 2)
+    return FOCUS_MARK.join([head, TAIL_MARK.join([text[begin : begin + room], tail])])
 
 
 def smart_excerpt(text: Column, most: int) -> Column:

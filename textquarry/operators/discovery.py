@@ -23,6 +23,7 @@ RAW_PATTERNS = {
 }
 RAW_PARTS = {"raw_template_opens": "{{", "raw_template_closes": "}}", "raw_table_starts": "{|", "raw_table_ends": "|}", "raw_link_opens": "[[", "raw_link_closes": "]]", "raw_pipes": "|"}
 LINE_PATTERNS = {"heading_lines": "^\\s*=+[^=\\n].*?=+\\s*$", "list_lines": "^\\s*[*#;:]+", "table_row_lines": "^\\s*\\|-", "table_cell_lines": "^\\s*[!|]", "key_value_lines": "^\\s*[^=\\n]{1,80}\\s*=\\s*\\S"}
+RESIDUE_PARTS = {"double_braces": ("{{", "}}"), "table_markers": ("{|", "|}"), "pipes": ("|",), "equals": ("=",)}
 LONG_TOKENS = (40, 80, 120, 200)
 
 
@@ -54,15 +55,15 @@ def text_features(df: DataFrame, text: str, prefix: str) -> DataFrame:
         "max_line_len": F.coalesce(F.array_max(F.transform(F.split(T.line_endings(s), "\\n"), F.length)), F.lit(0)).cast("long"),
         "latin_letters": T.latin_letters(s),
         "cyrillic_letters": T.cyrillic_letters(s),
-        "control_chars": T.matches(s, "\\p{Cc}"),
-        "format_chars": T.matches(s, "\\p{Cf}"),
-        "private_use_chars": T.matches(s, "\\p{Co}"),
-        "replacement_chars": T.matches(s, "\\uFFFD"),
-        "combining_marks": T.matches(s, "\\p{M}"),
-        "apostrophe_variants": T.apostrophe_variants(s),
-        "max_token_len": F.coalesce(F.array_max(F.transform(tokens, F.length)), F.lit(0)).cast("long"),
-        **{f"long_tokens_{k}": T.tokens_of_length(s, k) for k in LONG_TOKENS},
-        "alpha_digit_transitions": T.matches(s, T.LETTER_DIGIT_CYRILLIC),
+        "control_chars": T.chars_of(s, "\\p{Cc}"),
+        "format_chars": T.chars_of(s, "\\p{Cf}"),
+        "private_use_chars": T.chars_of(s, "\\p{Co}"),
+        "replacement_chars": T.chars_of(s, "\\uFFFD"),
+        "combining_marks": T.chars_of(s, "\\p{M}"),
+        "apostrophe_variants": T.apostrophe_variants(s, T.APOSTROPHES),
+        "max_token_len": T.longest(F.transform(tokens, F.length)),
+        **{f"long_tokens_{k}": F.size(F.filter(tokens, lambda t, k=k: F.length(t) >= k)).cast("long") for k in LONG_TOKENS},
+        "alpha_digit_transitions": T.letter_digit_turns(s, T.LETTER_DIGIT_CYRILLIC),
         "glued_tokens": F.size(F.filter(tokens, lambda t: (F.length(t) >= 30) & (T.matches(t, T.LETTER_DIGIT_CYRILLIC) >= 2))).cast("long"),
         "long_digit_runs": T.matches(s, T.LONG_DIGIT_RUN),
         "unique_token_ratio": T.ratio(F.size(F.array_distinct(tokens)), n),
@@ -73,8 +74,8 @@ def text_features(df: DataFrame, text: str, prefix: str) -> DataFrame:
         "_alpha": T.letters(s),
         "_digit": T.digits(s),
         "_whitespace": T.spaces(s),
-        "_punct": T.matches(s, "\\p{P}"),
-        "_symbol": T.matches(s, "\\p{S}"),
+        "_punct": T.chars_of(s, "\\p{P}"),
+        "_symbol": T.chars_of(s, "\\p{S}"),
     }
     df = df.withColumns({f"{prefix}_{k}": v for k, v in values.items()})
 
@@ -99,7 +100,9 @@ def markup_features(df: DataFrame, raw: str) -> DataFrame:
 def residue_features(df: DataFrame, extracted: str) -> DataFrame:
     """9 counts of markup left in extracted text."""
     s = F.col(extracted)
-    counts = {"residue_wiki": T.matches(s, T.WIKI_RESIDUE), "residue_urls": T.matches(s, T.URL), "residue_templates": T.substring_count(s, "{{"), "residue_links": T.substring_count(s, "[["), "residue_pipes": T.substring_count(s, "|"), "residue_html_tags": T.matches(s, RAW_PATTERNS["raw_html_tags"])}
+    counts = {"residue_wiki": T.matches(s, T.WIKI_RESIDUE), "residue_urls": T.matches(s, T.URL)}
+    for name, parts in RESIDUE_PARTS.items():
+        counts[f"residue_{name}"] = sum((T.substring_count(s, p) for p in parts[1:]), T.substring_count(s, parts[0]))
     counts |= {f"residue_{k}": lines_like(s, LINE_PATTERNS[k]) for k in ("heading_lines", "list_lines", "key_value_lines")}
     return df.withColumns(counts)
 
@@ -143,26 +146,35 @@ def signatures(features: DataFrame) -> DataFrame:
     return features.withColumns({"raw_signature": raw, "extracted_signature": extracted}).withColumn("joint_signature", F.concat_ws("||", "raw_signature", "extracted_signature"))
 
 
-#: Bins of the older, binned signatures: name, column, upper cuts.
+# Bins of the older, binned signatures.
 COUNT_BINS = {"TPL": (2, 9, 29), "TABLE": (1, 3, 9), "LIST": (4, 19, 99), "REF": (2, 9, 29), "FILE": (2, 9, 29), "URL": (1, 4, 19), "KV": (4, 19, 99), "TRANS": (3, 9, 29), "REPL": (1, 3, 9), "FORMAT": (1, 3, 9), "RESIDUE": (1, 3, 9)}
-RATIO_BINS = {"DIGIT": (0.01, 0.05, 0.15, 0.30), "PUNCT": (0.03, 0.08, 0.20), "WS": (0.05, 0.10, 0.18, 0.30), "REPEATLINE": (0.01, 0.05, 0.20), "COMP": (0.05, 0.15, 0.35, 0.65, 0.90, 1.10)}
+RATIO_BINS = {"DIGIT": (0.01, 0.05, 0.15, 0.30), "PUNCT": (0.03, 0.08, 0.20), "WS": (0.05, 0.10, 0.18, 0.30), "REPEATLINE": (0.01, 0.05, 0.20)}
+COMPRESSION_BINS = (0.05, 0.15, 0.35, 0.65, 0.90, 1.10)
+
+
+def labelled(value: Column, passed: list[Column], labels: list[str]) -> Column:
+    """The label at the place given by how many of the conditions hold."""
+    place = sum((c.cast("int") for c in passed[1:]), passed[0].cast("int"))
+    return F.element_at(F.array(*[F.lit(x) for x in labels]), place + 1)
 
 
 def count_bucket(value: Column, cuts: tuple[int, ...]) -> Column:
-    """0, then 1 to the first cut, and so on; the last bucket is open."""
-    out, low = F.when(value <= 0, "0"), 1
-    for cut in cuts:
-        out = out.when(value <= cut, str(low) if low == cut else f"{low}-{cut}")
-        low = cut + 1
-    return out.otherwise(f"{low}+")
+    """0 for nothing, then the range of counts up to each cut; the last range is open."""
+    ranges = [*zip((1, *(c + 1 for c in cuts)), cuts, strict=False)]
+    labels = ["0", *[f"{a}-{b}" if a < b else f"{a}" for a, b in ranges], f"{cuts[-1] + 1}+"]
+    return labelled(value, [value > 0, *[value > c for c in cuts]], labels)
 
 
 def ratio_bucket(value: Column, cuts: tuple[float, ...]) -> Column:
-    """Half-open intervals between the cuts."""
-    out = F.when(value < cuts[0], f"<{cuts[0]}")
-    for low, high in zip(cuts, cuts[1:], strict=False):
-        out = out.when(value < high, f"{low}-{high}")
-    return out.otherwise(f">={cuts[-1]}")
+    """The first cut that lies above the value, as <cut; >=cut from the last one on."""
+    return labelled(value, [value >= c for c in cuts], [*[f"<{c:g}" for c in cuts], f">={cuts[-1]:g}"])
+
+
+def compression_bucket(value: Column) -> Column:
+    """Intervals that hold their lower end, but for the last two: the one below the last cut holds that cut too."""
+    *cuts, last = COMPRESSION_BINS
+    labels = [f"<{cuts[0]:.2f}", *[f"{a:.2f}-{b:.2f}" for a, b in zip(cuts, (*cuts[1:], last), strict=True)], f">{last:.2f}"]
+    return labelled(value, [*[value >= c for c in cuts], value > last], labels)
 
 
 def length_bucket(words: Column) -> Column:
@@ -174,10 +186,10 @@ def max_token_bucket(n: Column) -> Column:
 
 
 def binned_signature(parts: dict[str, Column]) -> Column:
-    """NAME=bucket for each part, joined by |; names as in COUNT_BINS and RATIO_BINS, or LEN and MAXTOK."""
+    """NAME=bucket for each part, joined by |; names as in COUNT_BINS and RATIO_BINS, or LEN, MAXTOK and COMP."""
     made = []
     for name, value in parts.items():
-        bucket = length_bucket(value) if name == "LEN" else max_token_bucket(value) if name == "MAXTOK" else count_bucket(value, COUNT_BINS[name]) if name in COUNT_BINS else ratio_bucket(value, RATIO_BINS[name])
+        bucket = length_bucket(value) if name == "LEN" else max_token_bucket(value) if name == "MAXTOK" else compression_bucket(value) if name == "COMP" else count_bucket(value, COUNT_BINS[name]) if name in COUNT_BINS else ratio_bucket(value, RATIO_BINS[name])
         made.append(F.concat(F.lit(f"{name}="), bucket))
     return F.concat_ws("|", *made)
 

@@ -11,7 +11,7 @@ from textquarry.functions.unicode import casefold
 from .segment import unit_sizes
 
 QUANTILES = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-#: Columns that a record's fields are looked for in, in this order.
+# Columns that a record's fields are looked for in, in this order.
 TEXT_FIELDS = ("text", "body", "content", "article_text", "full_text", "document_text", "article", "description", "raw_text")
 TITLE_FIELDS = ("title", "document_title", "headline", "name", "doc_title")
 ID_FIELDS = ("id", "doc_id", "document_id", "article_id", "page_id", "url", "link", "source_url")
@@ -104,29 +104,29 @@ def recommend_limit(profile: DataFrame, most_overflow: float = 0.1, p99_target:
     return best.withColumn("status", F.when(F.col("recommended_limit").isNull(), "no_limit_passes").otherwise("recommended"))
 
 
-#: The reasons of a flag, in the order in which they are listed.
+# The reasons of a flag, in the order in which they are listed.
 REASONS = ("MARKUP_ARTIFACT", "COLLAPSED_TABLE_OR_GLUE", "DIGIT_HEAVY", "SYMBOL_HEAVY", "VERY_LONG_SURFACE_TOKEN")
 
 
 def structural_flags(units: DataFrame, text: str = "unit") -> DataFrame:
     """units with counts and ratios of their surface, and label, core_flag, reasons."""
-    s = F.col(text)
-    counted = units.withColumns(
+    s, lengths = F.col(text), F.col("_lengths")
+    counted = units.withColumn("_lengths", T.token_lengths(s)).withColumns(
         {
-            "words": T.word_count(s),
+            "words": F.size(lengths).cast("long"),
             "chars": F.length(s).cast("long"),
-            "max_word_len": T.longest_token(s),
-            "long40": T.tokens_of_length(s, 40),
-            "long80": T.tokens_of_length(s, 80),
+            "max_word_len": T.longest(lengths),
+            "long40": T.of_length(lengths, 40),
+            "long80": T.of_length(lengths, 80),
             "digit_chars": T.digits(s),
             "alpha_chars": T.letters(s),
-            "punct_chars": F.length(s).cast("long") - T.matches(s, "[\\p{L}\\p{N}]") - T.spaces(s),
-            "transitions": T.matches(s, T.LETTER_DIGIT),
+            "punct_chars": F.length(s).cast("long") - T.chars_of(s, "\\p{L}\\p{N}") - T.spaces(s),
+            "transitions": T.letter_digit_turns(s),
             "digit_runs": T.matches(s, T.LONG_DIGIT_RUN),
-            "wiki_markup": s.rlike(T.WIKI_MARKUP),
-            "url_markup": s.rlike(T.URL_MARKUP),
+            "wiki_markup": T.has_markup(s, T.WIKI_MARKUP),
+            "url_markup": T.has_markup(s, T.URL_MARKUP),
         }
-    )
+    ).drop("_lengths")
     whole = F.greatest(F.lit(1), F.col("chars"))
     counted = counted.withColumns({f"{k}_ratio": F.col(f"{k}_chars") / whole for k in ("digit", "alpha", "punct")})
     markup = F.col("wiki_markup") | F.col("url_markup")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
-from textquarry.functions.unicode import digit_class, stable_score
+from textquarry.functions.unicode import stable_score
 
 # The cleanup rules in order, each replaced by a space.
 CLEANUP = (
@@ -27,16 +27,21 @@ CLASSES = ("SEVERE_STRUCTURAL", "CLEANABLE_MARKUP", "PROSE_LIKE")
 
 
 def clean_markup(text: Column) -> Column:
+    """The text after the rules; a text that none of them can match isn't searched by each."""
+    ruled = text
     for rule in CLEANUP:
-        text = F.regexp_replace(text, rule, " ")
-    return T.strip(F.regexp_replace(F.regexp_replace(text, "[ \\t]+", " "), "\\n{3,}", "\n\n"))
+        ruled = F.regexp_replace(ruled, rule, " ")
+    may = text.contains("|") | text.contains("//") | text.rlike("(?iu)www\\.|fayl:|[_＿]{8}")
+    return T.strip(F.regexp_replace(F.regexp_replace(F.when(may, ruled).otherwise(text), "[ \\t]+", " "), "\\n{3,}", "\n\n"))
 
 
 def refined_labels(units: DataFrame, text: str = "unit") -> DataFrame:
     """units with the cleaned text's counts and one of CLASSES as label."""
     units = units.withColumn("cleaned", clean_markup(F.col(text)))
-    kept = F.transform(T.tokens(F.col("cleaned")), lambda t: F.struct(F.length(t).alias("len"), T.matches(t, T.LETTER_DIGIT).alias("turns"), (T.matches(t, f"[{digit_class()}]") / F.greatest(F.lit(1), F.length(t))).alias("digits")))
-    units = units.withColumn("_tokens", F.filter(kept, lambda t: t["len"] >= 30))
+    units = units.withColumn("_all", T.tokens(F.col("cleaned")))
+    long_ones = F.filter("_all", lambda t: F.length(t) >= 30)
+    kept = F.transform(long_ones, lambda t: F.struct(F.length(t).alias("len"), T.matches(t, T.LETTER_DIGIT).alias("turns"), (T.digits(t) / F.greatest(F.lit(1), F.length(t))).alias("digits")))
+    units = units.withColumn("_tokens", kept)
 
     def some(test) -> Column:
         return F.exists("_tokens", test)
@@ -48,22 +53,22 @@ def refined_labels(units: DataFrame, text: str = "unit") -> DataFrame:
     cleaned = F.col("cleaned")
     units = units.withColumns(
         {
-            "words": T.word_count(cleaned),
+            "words": F.size("_all").cast("long"),
             "raw_words": T.word_count(F.col(text)),
-            "max_word_len": T.longest_token(cleaned),
+            "max_word_len": T.longest(F.transform("_all", F.length)),
             "digit_ratio": T.digits(cleaned) / F.greatest(F.lit(1), F.length(cleaned)),
-            "transitions": T.matches(cleaned, T.LETTER_DIGIT),
+            "transitions": T.letter_digit_turns(cleaned),
             "digit_runs": T.matches(cleaned, T.LONG_DIGIT_RUN),
             "long40": many(lambda t: t["len"] >= 40),
             "long80": many(lambda t: t["len"] >= 80),
             "glued": glued,
             "_mixed30": some(lambda t: (t["len"] >= 30) & (t["turns"] >= 2)),
-            "markup": F.col(text).rlike(RAW_MARKUP) | (cleaned != T.strip(F.col(text))),
+            "markup": T.has_markup(F.col(text), RAW_MARKUP) | (cleaned != T.strip(F.col(text))),
         }
     )
     severe = (F.col("long80") > 0) | (F.col("glued") > 0) | ((F.col("long40") >= 2) & (F.col("digit_ratio") >= 0.08)) | ((F.col("digit_runs") >= 2) & F.col("_mixed30"))
     label = F.when(severe, CLASSES[0]).when(F.col("markup"), CLASSES[1]).otherwise(CLASSES[2])
-    return units.withColumn("label", label).drop("_tokens", "_mixed30", "cleaned")
+    return units.withColumn("label", label).drop("_all", "_tokens", "_mixed30", "cleaned")
 
 
 def refined_summary(labels: DataFrame, most_words: int) -> DataFrame:

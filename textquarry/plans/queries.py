@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from textquarry.functions import text as T
 from textquarry.functions.unicode import casefold
 from textquarry.operators import assemble, discovery, evaluation, profile, refine, retrieval, sample, segment, stats, targets
+from textquarry.plans.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
 LIMITS = [120, 150, 180, 200, 220]
 REFINED_LIMITS = [120, 130, 140]
 SEED = 20260916
+#: Tables whose rows take long enough to be worth spreading, and their keys.
+TEXTS = {"documents": "doc_id", "pages": "page_id"}
 
 
 def query(sql: str | None = None):
@@ -27,7 +30,8 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, TEXTS[name]) if name in TEXTS else df
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -129,7 +129,7 @@ a AS (SELECT 'MAX_WORDS' AS axis, doc_id, w AS value, w AS s FROM m UNION ALL SE
 @query(f"WITH {AXES_SQL} SELECT axis, doc_id, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY axis ORDER BY s DESC, doc_id DESC) AS rank FROM a) WHERE rank <= 20")
 def outlier_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The extremes of several axes."""
-    words, longest = T.word_count(F.col("text")), T.longest_token(F.col("text"))
+    words, longest = T.word_count(F.col("text")), T.longest(T.token_lengths(F.col("text")))
     docs = read(spark, sf_dir, "documents").select("doc_id", words.alias("w"), longest.alias("t"))
     axes = {"MAX_WORDS": (F.col("w"), "max"), "MAX_TOKEN_LEN": (F.col("t"), "max"), "MIN_WORDS_NONEMPTY": (F.when(F.col("w") > 0, F.col("w")), "min")}
     return discovery.top_k(docs, axes, 20, "doc_id")

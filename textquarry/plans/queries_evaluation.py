@@ -2,48 +2,50 @@
 
 from __future__ import annotations
 
-from functools import partial
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.operators import evaluation, retrieval, stats
 
-from .queries import REGISTRY, SEED, query, read, rounded
+from .queries import SEED, query, read, rounded
+from .tables import written
 
 
-def collection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs, read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-
+@dataclass
+class Collection:
+    """Documents, queries, and the term counts of the documents, which are made once for all that a plan asks of them."""
 
-def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25_scores(*collection(spark, sf_dir))
+    docs: DataFrame
+    queries: DataFrame
+    postings: DataFrame
 
+    def lexical(self) -> DataFrame:
+        return retrieval.bm25_scores(self.docs, self.queries, postings=self.postings)
 
-def overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.overlap_scores(*collection(spark, sf_dir))
+    def overlap(self) -> DataFrame:
+        return retrieval.overlap_scores(self.docs, self.queries, postings=self.postings)
 
+    def runs(self) -> DataFrame:
+        return written(retrieval.ranked(self.lexical(), 100, "bm25").unionAll(retrieval.ranked(self.overlap(), 100, "overlap")), "runs")
 
-def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.ranked(lexical(spark, sf_dir), 100, "bm25").unionAll(retrieval.ranked(overlap(spark, sf_dir), 100, "overlap"))
+    def qrels(self) -> DataFrame:
+        """Grades by the part of a query's distinct terms that a document holds: 2 from 0.75, 1 from 0.5, unjudged below 0.2."""
+        q = retrieval.term_counts(self.queries, "qid").select("qid", "term")
+        n = q.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+        both = self.postings.select("doc_id", "term").join(q, "term").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("k")).join(n, "qid")
+        part = F.col("k") / F.col("n")
+        return written(both.where(part >= 0.2).select("qid", "doc_id", F.when(part >= 0.75, 2).when(part >= 0.5, 1).otherwise(0).alias("grade")), "qrels")
 
 
-def qrels(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Grades by the part of a query's distinct terms that a document holds: 2 from 0.75, 1 from 0.5, unjudged below 0.2.
-
-    The queries ending in _whole judge all documents; the others, like their SQL, only those with even ids.
-    """
-    docs, queries = collection(spark, sf_dir)
-    q = retrieval.term_counts(queries, "qid").select("qid", "term")
-    n = q.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-    d = retrieval.term_counts(docs if whole else docs.where("doc_id % 2 = 0"), "doc_id").select("doc_id", "term")
-    both = d.join(q, "term").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("k")).join(n, "qid")
-    part = F.col("k") / F.col("n")
-    return both.where(part >= 0.2).select("qid", "doc_id", F.when(part >= 0.75, 2).when(part >= 0.5, 1).otherwise(0).alias("grade"))
+def collection(spark: SparkSession, sf_dir: str) -> Collection:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return Collection(docs, queries, written(retrieval.term_counts(docs, "doc_id"), "postings"))
 
 
-#: Permutations and resamples, and weights of the dense score, of the queries ending in _whole.
+#: Permutations and resamples, and weights of the dense score.
 ROUNDS, GRID = 10_000, [n / 20 for n in range(1, 20)]
 TERMS = r"regexp_extract_all(replace(lower(trim(regexp_replace(nfc_normalize({}), '\s+', ' ', 'g'))), 'ß', 'ss'), '[\p{{L}}\p{{Nd}}]+')"
 BASE = f"""
@@ -57,29 +59,29 @@ bm25 AS (SELECT qid, doc_id, round(sum(qtf * idf * tf * 2.2::DOUBLE / (tf + 1.2:
 ov AS (SELECT qid, doc_id, round(dot / (qn * dn), 6) AS score FROM (SELECT qid, doc_id, sum(tf * qtf) AS dot FROM d JOIN q USING (term) GROUP BY qid, doc_id) JOIN (SELECT qid, sqrt(sum(qtf * qtf)) AS qn FROM q GROUP BY qid) USING (qid) JOIN (SELECT doc_id, sqrt(sum(tf * tf)) AS dn FROM d GROUP BY doc_id) USING (doc_id)),
 r AS (SELECT * FROM (SELECT 'bm25' AS run, *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM bm25) WHERE rank <= 100
   UNION ALL SELECT * FROM (SELECT 'overlap', *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM ov) WHERE rank <= 100),
-qrels AS (SELECT qid, doc_id, CASE WHEN p >= 0.75 THEN 2 WHEN p >= 0.5 THEN 1 ELSE 0 END AS grade FROM (SELECT qid, doc_id, count(*) / any_value(n) AS p FROM d JOIN q USING (term) JOIN (SELECT qid, count(*) AS n FROM q GROUP BY qid) USING (qid) WHERE doc_id % 2 = 0 GROUP BY qid, doc_id) WHERE p >= 0.2)
+qrels AS (SELECT qid, doc_id, CASE WHEN p >= 0.75 THEN 2 WHEN p >= 0.5 THEN 1 ELSE 0 END AS grade FROM (SELECT qid, doc_id, count(*) / any_value(n) AS p FROM d JOIN q USING (term) JOIN (SELECT qid, count(*) AS n FROM q GROUP BY qid) USING (qid) GROUP BY qid, doc_id) WHERE p >= 0.2)
 """
 BASE = "WITH " + BASE
 
 
-@query(f"{BASE} SELECT term, df, round(idf, 6) AS idf FROM idf WHERE df >= 5")
+@query(f"{BASE} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def df_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document frequencies of terms in five documents or more."""
-    docs, _ = collection(spark, sf_dir)
-    return rounded(retrieval.document_frequencies(retrieval.term_counts(docs, "doc_id"), docs.count()).where("df >= 5"))
+    """Document frequencies of all terms."""
+    c = collection(spark, sf_dir)
+    return rounded(retrieval.term_statistics(c.docs, postings=c.postings).select("term", "df", "idf"))
 
 
 @query(f"{BASE} SELECT term, df, round(idf, 6) AS idf, df <= 0.001::DOUBLE * n AS rare, n, round(avgdl, 6) AS avgdl FROM idf, size")
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequencies of all terms, whether a term is rare, and N and avgdl of the collection."""
-    docs, _ = collection(spark, sf_dir)
-    return rounded(retrieval.term_statistics(docs))
+    c = collection(spark, sf_dir)
+    return rounded(retrieval.term_statistics(c.docs, postings=c.postings))
 
 
 @query(f"{BASE} SELECT qid, doc_id, score, rank FROM r WHERE run = 'bm25' AND rank <= 10")
 def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of each query."""
-    return retrieval.ranked(lexical(spark, sf_dir), 10, "bm25").drop("run")
+    return retrieval.ranked(collection(spark, sf_dir).lexical(), 10, "bm25").drop("run")
 
 
 COSINE = "c AS (SELECT q.vec_id AS qid, v.vec_id AS doc_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)"
@@ -106,23 +108,24 @@ def ann_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{BASE} SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM (SELECT qid, doc_id, round(sum(1 / (60 + rank)), 6) AS score FROM r GROUP BY qid, doc_id)) WHERE rank <= 20")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reciprocal rank fusion of two runs."""
-    return retrieval.ranked(retrieval.rrf_fusion(runs(spark, sf_dir)), 20, "rrf").drop("run")
+    return retrieval.ranked(retrieval.rrf_fusion(collection(spark, sf_dir).runs()), 20, "rrf").drop("run")
 
 
 FUSED = f"""{BASE},
 nl AS (SELECT qid, doc_id, CASE WHEN max(score) OVER w > 0 THEN score / max(score) OVER w ELSE 0 END AS l FROM bm25 WINDOW w AS (PARTITION BY qid)),
 nd AS (SELECT qid, doc_id, CASE WHEN max(score) OVER w > -1 THEN (score + 1) / (max(score) OVER w + 1) ELSE 0 END AS d FROM ov WINDOW w AS (PARTITION BY qid)),
 u AS (SELECT DISTINCT qid, doc_id FROM r),
-fused AS (SELECT alpha, qid, doc_id, round(alpha * coalesce(d, 0) + (1 - alpha) * coalesce(l, 0), 6) AS score FROM u LEFT JOIN nl USING (qid, doc_id) LEFT JOIN nd USING (qid, doc_id), (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) v(alpha))
+fused AS (SELECT alpha, qid, doc_id, round(alpha * coalesce(d, 0) + (1 - alpha) * coalesce(l, 0), 6) AS score FROM u LEFT JOIN nl USING (qid, doc_id) LEFT JOIN nd USING (qid, doc_id), (VALUES {", ".join(f"({a}::DOUBLE)" for a in GRID)}) v(alpha))
 """
 
 
 @query(f"{FUSED} SELECT alpha, qid, doc_id, score FROM fused")
-def convex_fusion(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def convex_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted fusion of normalised scores over the union of two runs."""
-    a, b = lexical(spark, sf_dir), overlap(spark, sf_dir)
+    c = collection(spark, sf_dir)
+    a, b = written(c.lexical(), "lexical"), written(c.overlap(), "overlap")
     union = retrieval.candidate_union(retrieval.ranked(a, 100, "a"), retrieval.ranked(b, 100, "b"), a, b)
-    return retrieval.convex_fusion(union, GRID if whole else [0.25, 0.5, 0.75])
+    return retrieval.convex_fusion(union, GRID)
 
 
 METRICS = f"""{BASE},
@@ -138,54 +141,57 @@ metrics AS (SELECT run, qid, CASE WHEN rel > 0 THEN round(d10 / i10, 6) END AS n
 
 
 @query(f"{METRICS} SELECT * FROM metrics")
-def ranking_metrics(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graded metrics of each query."""
-    return evaluation.metrics(runs(spark, sf_dir), qrels(spark, sf_dir, whole))
+    c = collection(spark, sf_dir)
+    return evaluation.metrics(c.runs(), c.qrels())
 
 
 @query(f"{METRICS} SELECT run, count(ndcg_10) AS queries, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(ap_100), 6) AS ap_100, round(avg(recall_50), 6) AS recall_50 FROM metrics GROUP BY run")
-def macro_metrics(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means over queries."""
-    return rounded(evaluation.macro_average(ranking_metrics(spark, sf_dir, whole), ["ndcg_10", "ap_100", "recall_50"]))
+    return rounded(evaluation.macro_average(ranking_metrics(spark, sf_dir), ["ndcg_10", "ap_100", "recall_50"]))
 
 
 @query(f"{BASE} SELECT run, count(grade) AS judged, count(*) AS shown, round(count(grade) / count(*), 6) AS coverage FROM r LEFT JOIN qrels USING (qid, doc_id) WHERE rank <= 50 GROUP BY run")
-def judged_coverage(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def judged_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each run is judged."""
-    return evaluation.coverage(runs(spark, sf_dir), qrels(spark, sf_dir, whole), 50)
+    c = collection(spark, sf_dir)
+    return evaluation.coverage(c.runs(), c.qrels(), 50)
 
 
 @query(f"{BASE} SELECT DISTINCT qid, doc_id FROM r WHERE rank <= 50")
 def judgement_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pool to judge."""
-    return evaluation.pool(runs(spark, sf_dir), 50)
+    return evaluation.pool(collection(spark, sf_dir).runs(), 50)
 
 
 @query(f"""{BASE}, rel AS (SELECT qid, doc_id FROM qrels WHERE grade >= 1), h AS (SELECT rel.qid, rel.doc_id, bool_or(run = 'bm25') AS a, bool_or(run = 'overlap') AS b FROM rel LEFT JOIN (SELECT * FROM r WHERE rank <= 50) x USING (qid, doc_id) GROUP BY ALL),
 k AS (SELECT qid, count(*) AS relevant, count(*) FILTER (a AND NOT coalesce(b, false)) AS only_a, count(*) FILTER (b AND NOT coalesce(a, false)) AS only_b, count(*) FILTER (a AND b) AS overlap, count(*) FILTER (a OR b) AS found, count(*) FILTER (a) AS na, count(*) FILTER (b) AS nb FROM h GROUP BY qid)
 SELECT qid, relevant, only_a, only_b, overlap, found, CASE WHEN found > 0 THEN round(overlap / found, 6) END AS jaccard, round((found - overlap) / greatest(1, found), 6) AS set_change, round(found / relevant, 6) AS union_recall, round((found - greatest(na, nb)) / relevant, 6) AS headroom FROM k""")
-def set_complementarity(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def set_complementarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of two runs finds that the other doesn't."""
-    both = runs(spark, sf_dir)
-    return evaluation.complementarity(both.where("run = 'bm25'"), both.where("run = 'overlap'"), qrels(spark, sf_dir, whole))
+    c = collection(spark, sf_dir)
+    both = c.runs()
+    return evaluation.complementarity(both.where("run = 'bm25'"), both.where("run = 'overlap'"), c.qrels())
 
 
 @query(f"{METRICS} SELECT a.qid, round(a.ndcg_10 - b.ndcg_10, 6) AS gain_overlap, round(a.ndcg_10 - b.ndcg_10, 6) AS gain_best, 'overlap' AS best FROM metrics a JOIN metrics b USING (qid) WHERE a.run = 'bm25' AND b.run = 'overlap'")
-def fusion_gains(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def fusion_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gains of a run over others."""
-    return evaluation.gains(ranking_metrics(spark, sf_dir, whole), "ndcg_10", "bm25", ["overlap"])
+    return evaluation.gains(ranking_metrics(spark, sf_dir), "ndcg_10", "bm25", ["overlap"])
 
 
 @query(f"{METRICS} SELECT run, round(avg(ndcg_10), 6) AS mean FROM metrics GROUP BY run ORDER BY mean DESC, run LIMIT 1")
-def best_setting(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def best_setting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The setting with the best mean."""
-    return rounded(evaluation.select_setting(ranking_metrics(spark, sf_dir, whole), ["run"], "ndcg_10"))
+    return rounded(evaluation.select_setting(ranking_metrics(spark, sf_dir), ["run"], "ndcg_10"))
 
 
 @query(f"{BASE} SELECT concat_ws(' ', qid, '0', doc_id, grade) AS value FROM qrels")
-def trec_qrels(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def trec_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judgements as lines of text."""
-    return retrieval.qrels_lines(qrels(spark, sf_dir, whole))
+    return retrieval.qrels_lines(collection(spark, sf_dir).qrels())
 
 
 @query("""WITH p AS (SELECT quality AS a, 1 - toxic AS b FROM labels), c AS (SELECT a, b, count(*) AS c FROM p GROUP BY a, b), n AS (SELECT sum(c) AS n, sum(CASE WHEN a = b THEN c ELSE 0 END) AS same, sum(pow(a - b, 2) * c) AS seen FROM c),
@@ -217,23 +223,23 @@ HEX = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr({0
 DIFFS = f"{METRICS}, diffs AS (SELECT qid, round(a.ndcg_10 - b.ndcg_10, 6) AS diff FROM metrics a JOIN metrics b USING (qid) WHERE a.run = 'bm25' AND b.run = 'overlap' AND a.ndcg_10 IS NOT NULL)"
 
 
-def diffs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return fusion_gains(spark, sf_dir, whole).select("qid", F.col("gain_overlap").alias("diff"))
+def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion_gains(spark, sf_dir).select("qid", F.col("gain_overlap").alias("diff"))
 
 
-@query(f"""{DIFFS}, draws AS (SELECT r, round(sum(CASE WHEN substr(md5('{SEED}|' || r || '|' || qid), 1, 1) < '8' THEN diff ELSE -diff END), 9) AS s FROM diffs, range(1000) t(r) GROUP BY r), one AS (SELECT count(*) AS n, avg(diff) AS mean, round(abs(sum(diff)), 9) AS real FROM diffs)
-SELECT n, round(mean, 6) AS mean, round((count(*) FILTER (abs(s) >= real) + 1) / 1001, 6) AS p FROM draws, one GROUP BY n, mean""")
-def permutation_test(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@query(f"""{DIFFS}, draws AS (SELECT r, round(sum(CASE WHEN substr(md5('{SEED}|' || r || '|' || qid), 1, 1) < '8' THEN diff ELSE -diff END), 9) AS s FROM diffs, range({ROUNDS}) t(r) GROUP BY r), one AS (SELECT count(*) AS n, avg(diff) AS mean, round(abs(sum(diff)), 9) AS real FROM diffs)
+SELECT n, round(mean, 6) AS mean, round((count(*) FILTER (abs(s) >= real) + 1) / {ROUNDS + 1}, 6) AS p FROM draws, one GROUP BY n, mean""")
+def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A paired test over queries."""
-    return rounded(stats.permutation_test(diffs(spark, sf_dir, whole), ROUNDS if whole else 1000, SEED))
+    return rounded(stats.permutation_test(diffs(spark, sf_dir), ROUNDS, SEED))
 
 
 @query(f"""{DIFFS}, known AS (SELECT row_number() OVER (ORDER BY qid) AS nth, diff AS v FROM diffs), one AS (SELECT count(*) AS n, avg(v) AS mean FROM known),
-picks AS (SELECT r, {HEX.format(f"md5('{SEED}|' || r || '|' || nth)", 8)} % n + 1 AS pick, n, mean FROM known, range(500) t(r), one), means AS (SELECT r, n, mean, avg(v) AS m FROM picks JOIN known ON known.nth = picks.pick GROUP BY ALL)
+picks AS (SELECT r, {HEX.format(f"md5('{SEED}|' || r || '|' || nth)", 8)} % n + 1 AS pick, n, mean FROM known, range({ROUNDS}) t(r), one), means AS (SELECT r, n, mean, avg(v) AS m FROM picks JOIN known ON known.nth = picks.pick GROUP BY ALL)
 SELECT n, round(mean, 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM means GROUP BY n, mean""")
-def bootstrap_ci(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An interval of the mean gain."""
-    return rounded(stats.bootstrap_interval(diffs(spark, sf_dir, whole), ROUNDS if whole else 500, SEED))
+    return rounded(stats.bootstrap_interval(diffs(spark, sf_dir), ROUNDS, SEED))
 
 
 @query("""WITH w AS (SELECT n_chars AS x, len(regexp_extract_all(text, '\\S+')) AS y FROM documents), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM w)
@@ -248,12 +254,10 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{BASE}, f AS (SELECT qid, len(t) AS terms, len(list_distinct(t)) AS distinct_terms FROM qt), rare AS (SELECT qid, count(*) FILTER (coalesce(df, 0) <= 0.001 * n) AS rare FROM q LEFT JOIN idf USING (term), size GROUP BY qid) SELECT qid, CAST(terms AS BIGINT) AS terms, CAST(distinct_terms AS BIGINT) AS distinct_terms, round(rare / distinct_terms, 6) AS rare_ratio FROM f JOIN rare USING (qid)")
 def query_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length and rare terms of each query."""
-    docs, queries = collection(spark, sf_dir)
-    n = docs.count()
-    q = retrieval.term_counts(queries, "qid")
-    known = retrieval.document_frequencies(retrieval.term_counts(docs, "doc_id"), n)
-    both = q.join(known, "term", "left")
-    sums = both.groupBy("qid").agg(F.first("size").alias("terms"), F.count(F.lit(1)).alias("distinct_terms"), F.count_if(F.coalesce("df", F.lit(0)) <= 0.001 * n).alias("rare"))
+    c = collection(spark, sf_dir)
+    known = retrieval.term_statistics(c.docs, rare=0.001, postings=c.postings).select("term", "rare")
+    both = retrieval.term_counts(c.queries, "qid").join(known, "term", "left")
+    sums = both.groupBy("qid").agg(F.first("size").alias("terms"), F.count(F.lit(1)).alias("distinct_terms"), F.count_if(F.coalesce("rare", F.lit(True))).alias("rare"))
     return rounded(sums.select("qid", "terms", "distinct_terms", (F.col("rare") / F.col("distinct_terms")).alias("rare_ratio")))
 
 
@@ -262,19 +266,3 @@ def dev_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stratified split of the queries."""
     q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), (F.length("text") > 200).alias("long"))
     return stats.stratified_split(q, ["long"], "qid", 1, 3, SEED).select("qid", "part")
-
-
-def over_all_documents(f, *others: tuple[str, str]) -> None:
-    """Registers NAME_whole: the query with all documents judged, and its SQL without the part that leaves out odd ids; others: (small, whole) parts of the SQL."""
-    sql = REGISTRY[f.__name__][1]
-    for small, whole in ((" WHERE doc_id % 2 = 0 GROUP BY", " GROUP BY"), *others):
-        assert sql.count(small) == 1
-        sql = sql.replace(small, whole)
-    REGISTRY[f"{f.__name__}_whole"] = (partial(f, whole=True), sql)
-
-
-for judged in (ranking_metrics, macro_metrics, judged_coverage, set_complementarity, fusion_gains, best_setting, trec_qrels):
-    over_all_documents(judged)
-over_all_documents(permutation_test, ("range(1000)", f"range({ROUNDS})"), ("/ 1001,", f"/ {ROUNDS + 1},"))
-over_all_documents(bootstrap_ci, ("range(500)", f"range({ROUNDS})"))
-over_all_documents(convex_fusion, ("(0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)", ", ".join(f"({a}::DOUBLE)" for a in GRID)))
