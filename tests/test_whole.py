@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from textquarry.operators import retrieval
 from test_queries import DIR, TABLES, canonical
 
-WHOLE = ["term_statistics", "df_idf", "macro_metrics", "judged_coverage", "set_complementarity", "fusion_gains", "best_setting", "trec_qrels", "permutation_test", "bootstrap_ci", "convex_fusion", "query_features", "rrf_fusion"]
+WHOLE = ["term_statistics", "df_idf", "macro_metrics", "judged_coverage", "set_complementarity", "fusion_gains", "best_setting", "trec_qrels", "permutation_test", "bootstrap_ci", "convex_fusion", "query_features", "rrf_fusion", "csv_rows", "strict_csv_rows", "jsonl_rows", "record_rows", "parquet_rows", "fresh_strata", "equivalence", "regression"]
 
 
 @pytest.fixture

@@ -53,6 +53,38 @@ def order_violations(rows: DataFrame, order: str, expected: int) -> DataFrame:
     return sums.where((F.col("low") != 1) | (F.col("high") != expected) | (F.col("distinct") != expected) | (F.col("rows") != expected))
 
 
+def batch_violations(rows: DataFrame, size: int, batch: str = "batch", order: str = "order", first: int = 1, last: int | None = None) -> DataFrame:
+    """batch, rule: batches outside first to last, of another size than `size` (the last one may be smaller), or whose orders aren't the ones that follow those of the batches before."""
+    sums = rows.groupBy(batch).agg(F.count(F.lit(1)).alias("rows"), F.min(order).alias("low"), F.max(order).alias("high"), F.countDistinct(order).alias("distinct"))
+    end = F.lit(last) if last is not None else sums.agg(F.max(batch)).first()[0]  # one row
+    begin = (F.col(batch) - first) * size + 1
+    rules = {
+        "range": F.col(batch).isNull() | (F.col(batch) < first) | (F.col(batch) > end),
+        "size": F.when(F.col(batch) == end, (F.col("rows") < 1) | (F.col("rows") > size)).otherwise(F.col("rows") != size),
+        "order": (F.col("low") != begin) | (F.col("high") != begin + F.col("rows") - 1) | (F.col("distinct") != F.col("rows")),
+    }
+    found = sums.select(batch, F.explode(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(r)) for r, c in rules.items()])).alias("rule"))
+    return found.where("rule is not null")
+
+
+def preflight(found: DataFrame, checkpoint: DataFrame, gates: dict[str, tuple[DataFrame, str]], file: str = "file", digest: str = "sha256") -> None:
+    """What must hold before anything is loaded: every file of the checkpoint is there with its hash and no other, and each gate's condition holds for all rows of its summary, which has some."""
+    require(column_mismatches(found.select(file, digest), checkpoint.select(file, digest), file, [digest]), "files differ from the checkpoint")
+    for name, (summary, condition) in gates.items():
+        if summary.isEmpty():
+            raise IntegrityError(f"{name}: the summary is missing")
+        require(summary.where(~F.coalesce(F.expr(condition), F.lit(False))), f"{name} isn't closed")
+
+
+def with_diagnostics(rows: DataFrame, legacy: DataFrame, key: str, columns: list[str], batches: tuple[int, ...] = (1,), batch: str = "batch") -> DataFrame:
+    """rows with the columns that older batches keep in a table of their own; rows of other batches keep theirs, and no row is lost or doubled."""
+    require(key_violations(legacy, key), "older diagnostics")
+    old = legacy.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in columns])
+    both = rows.join(old, (F.col(key) == F.col("_k")) & F.col(batch).isin(*batches), "left")
+    own = {c: F.when(F.col("_k").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)) if c in rows.columns else F.col(f"_{c}") for c in columns}
+    return both.withColumns(own).drop("_k", *[f"_{c}" for c in columns])
+
+
 def decision_violations(rows: DataFrame, key: str = "canonical_id") -> DataFrame:
     """key, rule: every rule that a decision breaks."""
     label, code = F.col("screening_label"), F.coalesce(F.col("screening_reason_code"), F.lit(""))

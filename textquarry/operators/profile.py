@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
+from textquarry.functions.tokenizers import TokenCounter
 from textquarry.functions.unicode import casefold
 
-from .segment import unit_sizes
+from .segment import retrieval_units, unit_sizes
 
+# What a screening of limits says of itself, without and with token counts.
+STATUSES = ("tokenizers_not_run", "screening_only_not_a_scientific_freeze")
 QUANTILES = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 # Columns that a record's fields are looked for in, in this order.
 TEXT_FIELDS = ("text", "body", "content", "article_text", "full_text", "document_text", "article", "description", "raw_text")
@@ -95,6 +100,29 @@ def segmentation_profile(docs: DataFrame, limits: list[int], title: str | None =
     )
 
 
+def token_profile(docs: DataFrame, limits: list[int], counters: Sequence[TokenCounter], title: str | None = None) -> DataFrame:
+    """segmentation_profile with, for each counter: a summary of the units' tokens, its limit, units above it, their percentage, and the room left at the 99th percentile."""
+    base = segmentation_profile(docs, limits, title)
+    if not counters:
+        return base
+    units = retrieval_units(docs.select("source", "text", *([title] if title else [])), limits, title=title)
+    units = units.withColumns({f"_{c.name}": c.count(F.col("unit")) for c in counters})
+    made = []
+    for c in counters:
+        n = F.col(f"_{c.name}")
+        room = F.lit(c.most) - F.coalesce(F.percentile(n, F.lit(0.99)), F.lit(0.0))
+        made += [*summarize(n, f"{c.name}_tokens"), F.first(F.lit(c.most)).alias(f"{c.name}_max_tokens"), F.count_if(n > c.most).alias(f"{c.name}_overflow_units"), percent(n > c.most).alias(f"{c.name}_overflow_pct"), room.alias(f"{c.name}_p99_headroom")]
+    return base.join(units.groupBy("source", "word_limit").agg(*made), ["source", "word_limit"], "left")
+
+
+def screen_limits(profile: DataFrame, most_overflow: float = 0.1, p99_target: float = 480, counter: str = "e5") -> DataFrame:
+    """recommend_limit by a counter's tokens; its status says if tokens weren't counted, and that a recommendation is a screening only."""
+    if f"{counter}_overflow_pct" not in profile.columns:
+        nothing = profile.select("word_limit").distinct().agg(F.lit(None).cast("int").alias("recommended_limit"), F.lit(0).cast("long").alias("passing_limits"), F.count(F.lit(1)).alias("limits"))
+        return nothing.withColumn("status", F.lit(STATUSES[0]))
+    return recommend_limit(profile, most_overflow, p99_target, f"{counter}_tokens_p99", f"{counter}_overflow_pct").withColumn("status", F.lit(STATUSES[1]))
+
+
 def recommend_limit(profile: DataFrame, most_overflow: float = 0.1, p99_target: float = 480, p99: str = "unit_words_p99", overflow: str | None = None) -> DataFrame:
     """One row: the largest limit whose worst source stays within both bounds; null where none does. A missing p99 passes no bound."""
     over = F.max(overflow) if overflow else F.lit(0.0)

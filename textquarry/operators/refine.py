@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from textquarry.functions import text as T
 from textquarry.functions.unicode import stable_score
 
+from .assemble import key_violations, require
+
 # The cleanup rules in order, each replaced by a space.
 CLEANUP = (
     r"(?iu)https?://\S+",
@@ -90,8 +92,10 @@ def label_examples(labels: DataFrame, cap: int) -> DataFrame:
     return labels.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= cap)
 
 
-def stratified_sample(rows: DataFrame, per_stratum: int, seed: int, keys: tuple[str, ...] = ("source", "label"), id_column: str = "sample_id") -> DataFrame:
-    """Up to per_stratum rows of each stratum, by hash: the same rows whatever the partitioning."""
+def stratified_sample(rows: DataFrame, per_stratum: int, seed: int, keys: tuple[str, ...] = ("source", "label"), id_column: str = "sample_id", excluded: DataFrame | None = None) -> DataFrame:
+    """Up to per_stratum rows of each stratum, by hash: the same rows whatever the partitioning. excluded: ids of an earlier sample, which don't come again."""
+    if excluded is not None:
+        rows = rows.join(excluded.select(id_column).distinct(), id_column, "left_anti")
     scored = rows.withColumn("_score", stable_score(seed, F.concat_ws("|", *keys), F.col(id_column)))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_score", id_column))
     return scored.withColumn("_nth", nth).where(F.col("_nth") <= per_stratum).drop("_nth", "_score")
@@ -103,6 +107,14 @@ def blind_and_key(sample: DataFrame, shown: tuple[str, ...], hidden: tuple[str,
     return blind, sample.select(id_column, *hidden)
 
 
+def judged_rows(blind: DataFrame, key: DataFrame, id_column: str = "sample_id") -> DataFrame:
+    """The blind rows with what the key says of them. An id that the key lacks, or that stands twice on a side, is an error and no row is dropped for it."""
+    require(key_violations(blind, id_column), "blind ids")
+    require(key_violations(key, id_column), "ids of the key")
+    require(blind.join(key, id_column, "left_anti").select(id_column), "ids without a key")
+    return blind.join(key, id_column)
+
+
 def confusion(pairs: DataFrame, predicted: str, human: str, classes: tuple = CLASSES) -> DataFrame:
     """A row for each class: how often it was predicted for each human label."""
     wide = pairs.where(F.col(human).isin(*classes)).groupBy(F.col(predicted).alias("predicted")).pivot(human, list(classes)).count()

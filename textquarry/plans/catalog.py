@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries, queries_discovery, queries_evaluation
+from . import queries, queries_discovery, queries_evaluation, queries_io
 
 REGISTRY = queries.REGISTRY
-__all__ = ["REGISTRY", "queries_discovery", "queries_evaluation"]
+__all__ = ["REGISTRY", "queries_discovery", "queries_evaluation", "queries_io"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,7 +33,7 @@ PAGE = T.StructType(
 )
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
     """Objects, one a line; blank lines don't count, a malformed line fails the read. bz2 and gzip are decompressed."""
     reader = spark.read.option("mode", "FAILFAST")
     return (reader.schema(schema) if schema else reader).json(path)
@@ -47,21 +48,30 @@ def sniff(head: str) -> str:
 
 
 def _head(spark: SparkSession, path: str) -> str:
-    """The first bytes of the first file, without reading the rest."""
-    rows = spark.read.text(path).limit(50).collect()
-    return "\n".join(r[0] for r in rows)[:SNIFFED].removeprefix("﻿")
-
-
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
+    """The first SNIFFED characters of the first file, without reading the rest."""
+    file = next(f for f in list_files(spark, path) if not f.rpartition("/")[2].startswith(("_", ".")))
+    if file.lower().endswith((".gz", ".bz2")):
+        data = "\n".join(r[0] for r in spark.read.text(file).limit(SNIFFED).collect())
+    else:
+        where = spark._jvm.org.apache.hadoop.fs.Path(file)
+        stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+        try:
+            data = bytes(stream.readNBytes(4 * SNIFFED)).decode("utf-8", "ignore")
+        finally:
+            stream.close()
+    return data.removeprefix("﻿")[:SNIFFED]
+
+
+def read_csv(spark: SparkSession, path: str | list[str], delimiter: str | None = None) -> DataFrame:
     """Strings under a header; the delimiter is guessed unless given."""
-    sep = delimiter or sniff(_head(spark, path))
+    sep = delimiter or sniff(_head(spark, path if isinstance(path, str) else path[0]))
     df = spark.read.options(header=True, sep=sep, multiLine=True, quote='"', escape='"', inferSchema=False).csv(path)
     return df.withColumnsRenamed({c: c.removeprefix("﻿") for c in df.columns if c.startswith("﻿")})
 
 
 def read_csv_strict(spark: SparkSession, path: str) -> DataFrame:
     """As read_csv with commas; a header that repeats a name, or a row of another length, is an error."""
-    header = next(csv.reader(_head(spark, path).split("\n")), [])
+    header = next(csv.reader(io.StringIO(_head(spark, path), newline="")), [])
     if len(set(header)) != len(header):
         raise IntegrityError(f"{path}: a column stands twice in {header}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header] + [T.StructField("_bad", T.StringType())])
@@ -76,9 +86,9 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_txt(spark: SparkSession, path: str) -> DataFrame:
-    """id (path below the folder), title (first non-empty line), text (the rest), category (parent folder). A file of one line has no title; empty files are dropped."""
-    root = path.rstrip("/")
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    """Of a .txt file or all below a folder: id (path below the folder, or the file's name), title (first non-empty line), text (the rest), category (parent folder). A file of one line has no title; empty files are dropped."""
+    root = path.rstrip("/").rpartition("/")[0] if path.endswith(".txt") else path.rstrip("/")
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(path.rstrip("/"), wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     below = F.regexp_replace(F.url_decode("file"), f"^.*?{re.escape(root.split('://')[-1].removeprefix('file:'))}/", "")
     lines = F.transform(F.split(layout_text(F.regexp_replace("value", "^\\ufeff", "")), "\\n"), strip)
     rows = files.select(below.alias("id"), lines.alias("lines"))
@@ -123,8 +133,15 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     if "parquet" in kinds:
         return read_parquet(spark, path)
     if "txt" in kinds:
-        return read_txt(spark, path.rpartition("/")[0] if path.endswith(".txt") else path)
-    parts = [{"jsonl": read_jsonl, "csv": read_csv, "json": read_json_document}[k](spark, f) for k in ("jsonl", "csv", "json") for f in kinds.get(k, [])]
+        return read_txt(spark, path)
+    # One read for all files of a kind that look alike: the plan doesn't grow with their number.
+    parts = [read_jsonl(spark, kinds["jsonl"])] if "jsonl" in kinds else []
+    alike: dict[tuple[str, str], list[str]] = {}
+    for f in kinds.get("csv", []):
+        head = _head(spark, f)
+        alike.setdefault((sniff(head), head.split("\n")[0]), []).append(f)
+    parts += [read_csv(spark, own, delimiter) for (delimiter, _), own in alike.items()]
+    parts += [read_json_document(spark, f) for f in kinds.get("json", [])]
     if not parts:
         raise ValueError(f"{path}: no readable file")
     out = parts[0]
