@@ -62,7 +62,7 @@ def text_features(df: DataFrame, text: str, prefix: str) -> DataFrame:
         "combining_marks": T.chars_of(s, "\\p{M}"),
         "apostrophe_variants": T.apostrophe_variants(s, T.APOSTROPHES),
         "max_token_len": T.longest(F.transform(tokens, F.length)),
-        **{f"long_tokens_{k}": F.size(F.filter(tokens, lambda t, k=k: F.length(t) >= k)).cast("long") for k in LONG_TOKENS},
+        **{f"long_tokens_{k}": T.of_length(F.transform(tokens, F.length), k) for k in LONG_TOKENS},
         "alpha_digit_transitions": T.letter_digit_turns(s, T.LETTER_DIGIT_CYRILLIC),
         "glued_tokens": F.size(F.filter(tokens, lambda t: (F.length(t) >= 30) & (T.matches(t, T.LETTER_DIGIT_CYRILLIC) >= 2))).cast("long"),
         "long_digit_runs": T.matches(s, T.LONG_DIGIT_RUN),
