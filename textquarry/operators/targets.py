@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 def batch_members(batches: DataFrame, key: str = "page_id") -> DataFrame:
     """batches (key, batch, line) as one row a key: first batch and line, global position, all batches in order, times."""
-    placed = batches.withColumn("_place", F.row_number().over(Window.orderBy("batch", "line")))
+    before = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each batch
+    ahead = batches.groupBy(F.col("batch").alias("_batch")).agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("_batch", "batch")
+    ahead = ahead.select(F.col("batch").alias("_batch"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_ahead"))
+    inside = batches.withColumn("_nth", F.row_number().over(Window.partitionBy("batch").orderBy("line")))
+    placed = inside.join(ahead, F.col("batch").eqNullSafe(F.col("_batch"))).withColumn("_place", (F.col("_ahead") + F.col("_nth")).cast("int"))
     merged = placed.groupBy(key).agg(F.min(F.struct("_place", "batch", "line")).alias("f"), F.array_sort(F.collect_set("batch")).alias("batches"), F.count(F.lit(1)).alias("times"))
     return merged.select(key, F.col("f._place").alias("global_position"), F.col("f.batch").alias("batch"), F.col("f.line").alias("line"), "batches", "times")
 
