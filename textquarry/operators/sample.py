@@ -1,7 +1,7 @@
 """Deterministic samples: replays of order-dependent samplers by position, and hash samples that no partitioning changes.
 
-The replays are for parity with samples drawn elsewhere: their generator must be asked once for each row, which the driver does (some
-ten million rows a second at best). hash_sample is the one for large tables.
+The replays are for parity with samples drawn elsewhere: their generator must be asked once for each row, which the
+driver does one after the other. hash_sample is the one for large tables.
 """
 
 from __future__ import annotations
