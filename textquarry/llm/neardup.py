@@ -395,13 +395,15 @@ def grouped(docs: DataFrame, width: int, similar: int) -> DataFrame:
         found = components(links.unionAll(more))
     discard(nodes)
     same = rows.select("row", "digest", "n").join(heads.select("digest", F.col("row").alias("node")), "digest").join(found, "node", "left")
-    return rows.join(same.select("row", F.coalesce("component", "node").alias("component")), "row", "left").select("row", "doc", "n", F.coalesce("component", "row").alias("component"))
+    same = settle(same.select("row", F.coalesce("component", "node").alias("component")), "row-components")
+    return rows.join(same, "row", "left").select("row", "doc", "n", F.coalesce("component", "row").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
     every = grouped(docs.select("doc_id", "text"), width, similar).select(F.col("doc.doc_id").cast("long").alias("doc_id"), "n", "component")
-    least = every.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    every = settle(every, "documents")
+    least = settle(every.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component-ids")  # a table, so that a large component's join is split
     return every.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
