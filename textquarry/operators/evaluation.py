@@ -7,19 +7,29 @@ from pyspark.sql import functions as F
 
 
 def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
-    """The run with grade: null where a document is unjudged."""
-    return run.join(qrels.select("qid", "doc_id", "grade"), ["qid", "doc_id"], "left")
+    """The run with grade: null where a document is unjudged. The run's own judgements are taken first, so that a small run is sent to the judgements and not these to it."""
+    own = qrels.select("qid", "doc_id", "grade").join(run.select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_semi")
+    return run.join(own, ["qid", "doc_id"], "left")
+
+
+def grades(qrels: DataFrame) -> DataFrame:
+    """qid, grade_0, grade_1, grade_2: how many judgements of each grade a query has."""
+    return qrels.groupBy("qid").agg(*[F.count_if(F.col("grade") == g).alias(f"grade_{g}") for g in (0, 1, 2)])
+
+
+def ideal_gain(k: int) -> Column:
+    """The gain of the best k of a row of grades."""
+    twos, some = F.col("grade_2"), F.col("grade_2") + F.col("grade_1")
+    return sum((F.when(twos >= n, 3.0).when(some >= n, 1.0).otherwise(0.0) / F.log2(F.lit(n + 1.0)) for n in range(2, k + 1)), F.when(twos >= 1, 3.0).when(some >= 1, 1.0).otherwise(0.0))
 
 
 def ideal_gains(qrels: DataFrame, k: int) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("grade"), "doc_id"))
-    best = qrels.withColumn("nth", nth).where(F.col("nth") <= k)
-    return best.groupBy("qid").agg(F.sum((F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(F.col("nth") + 1)).alias(f"idcg_{k}"))
+    return grades(qrels).select("qid", ideal_gain(k).alias(f"idcg_{k}"))
 
 
 def metrics(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """run, qid, ndcg_10, ndcg_5, recall_50, ap_100, rr_10, bpref, judged_10; null for queries without relevant documents."""
-    per = qrels.groupBy("qid").agg(F.count_if(F.col("grade") >= 1).alias("relevant"), F.count_if(F.col("grade") == 0).alias("nonrelevant"))
+    per = grades(qrels).select("qid", (F.col("grade_1") + F.col("grade_2")).alias("relevant"), F.col("grade_0").alias("nonrelevant"), ideal_gain(10).alias("idcg_10"), ideal_gain(5).alias("idcg_5"))
     w = Window.partitionBy("run", "qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     relevant, bad = F.coalesce(F.col("grade") >= 1, F.lit(False)), F.coalesce(F.col("grade") == 0, F.lit(False))
     seen = judged(run, qrels).withColumns({"hits": F.sum(relevant.cast("int")).over(w), "misses": F.sum(bad.cast("int")).over(w)}).join(per, "qid")
@@ -31,7 +41,7 @@ def metrics(run: DataFrame, qrels: DataFrame) -> DataFrame:
     few = F.least("relevant", "nonrelevant")
     penalty = F.when(few > 0, 1 - F.least("misses", few) / few).otherwise(1.0)
     sums = seen.groupBy("run", "qid").agg(
-        F.first("relevant").alias("relevant"),
+        *[F.first(c).alias(c) for c in ("relevant", "idcg_10", "idcg_5")],
         F.sum(within(10, gain)).alias("dcg_10"),
         F.sum(within(5, gain)).alias("dcg_5"),
         F.sum(within(50, relevant.cast("double"))).alias("found_50"),
@@ -41,7 +51,6 @@ def metrics(run: DataFrame, qrels: DataFrame) -> DataFrame:
         F.count_if(F.col("grade").isNotNull() & (F.col("rank") <= 10)).alias("judged"),
         F.count_if(F.col("rank") <= 10).alias("first_10"),
     )
-    sums = sums.join(ideal_gains(qrels, 10), "qid").join(ideal_gains(qrels, 5), "qid")
     some = F.col("relevant") > 0
 
     def value(x: Column) -> Column:
@@ -73,7 +82,7 @@ def complementarity(a: DataFrame, b: DataFrame, qrels: DataFrame, depth: int = 5
     relevant = qrels.where("grade >= 1").select("qid", "doc_id")
 
     def hits(run: DataFrame, name: str) -> DataFrame:
-        return run.where(F.col("rank") <= depth).join(relevant, ["qid", "doc_id"], "left_semi").groupBy("qid").agg(F.collect_set("doc_id").alias(name))  # at most depth ids
+        return relevant.join(run.where(F.col("rank") <= depth).select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_semi").groupBy("qid").agg(F.collect_set("doc_id").alias(name))  # at most depth ids
 
     per = relevant.groupBy("qid").agg(F.count(F.lit(1)).alias("relevant")).join(hits(a, "a"), "qid", "left").join(hits(b, "b"), "qid", "left")
     none = F.array().cast("array<bigint>")
