@@ -17,6 +17,8 @@ from textquarry.operators.assemble import IntegrityError
 #: Bytes of a CSV file that its delimiter is guessed from, and the delimiters that it may have.
 SNIFFED, DELIMITERS = 8192, ",;\t|"
 SUFFIXES = {".jsonl": "jsonl", ".ndjson": "jsonl", ".csv": "csv", ".tsv": "csv", ".parquet": "parquet", ".txt": "txt", ".json": "json"}
+#: What blank cells are read as, and then as null: no text of a quoted cell, as Spark takes an empty one for null if this is empty.
+BLANK = "\ufdd0blank\ufdd1"
 #: Keys of a JSON object whose list holds the records.
 WRAPPERS = ("data", "records", "items")
 BATCH_FILE = r"(?i)batch_(\d+)\.jsonl$"
@@ -63,9 +65,9 @@ def _head(spark: SparkSession, path: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str | list[str], delimiter: str | None = None) -> DataFrame:
-    """Strings under a header; the delimiter is guessed unless given."""
+    """Strings under a header, blank ones as null and quoted empty ones as empty; the delimiter is guessed unless given."""
     sep = delimiter or sniff(_head(spark, path if isinstance(path, str) else path[0]))
-    df = spark.read.options(header=True, sep=sep, multiLine=True, quote='"', escape='"', inferSchema=False).csv(path)
+    df = spark.read.options(header=True, sep=sep, multiLine=True, quote='"', escape='"', nullValue=BLANK, emptyValue="", inferSchema=False).csv(path)
     return df.withColumnsRenamed({c: c.removeprefix("﻿") for c in df.columns if c.startswith("﻿")})
 
 

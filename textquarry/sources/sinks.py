@@ -27,8 +27,8 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A folder of CSV files with headers; nulls are blank."""
-    flat(df).write.mode("overwrite").options(header=True, nullValue="", emptyValue="", quote='"', escape='"').csv(path)
+    """A folder of CSV files with headers; nulls are blank, empty texts are quoted, and no white space is trimmed."""
+    flat(df).write.mode("overwrite").options(header=True, nullValue="", emptyValue='""', quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def union_of_columns(parts: list[DataFrame]) -> DataFrame:
