@@ -47,14 +47,19 @@ def _mapped(function: Callable[[str], object], kind: str):
     return udf
 
 
+def beyond(text: Column, kinds: str) -> Column:
+    """Whether the text holds a character outside a class (without brackets). One greedy run of the class is far quicker than a search for its negation."""
+    return ~text.rlike(f"\\A[{kinds}]*+\\z")
+
+
 def nfc(text: Column) -> Column:
     """Normalisation form C; text that is in it for certain stays in the JVM."""
-    return F.coalesce(_mapped(lambda t: unicodedata.normalize("NFC", t), "string")(F.when(text.rlike(f"[^{SETTLED}]"), text)), text)
+    return F.coalesce(_mapped(lambda t: unicodedata.normalize("NFC", t), "string")(F.when(beyond(text, SETTLED), text)), text)
 
 
 def casefold(text: Column) -> Column:
     """Full case folding; only text with special characters leaves the JVM."""
-    return F.coalesce(_mapped(str.casefold, "string")(F.when(text.rlike(f"[^{FOLDS_TO_LOWER}]"), text)), F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
+    return F.coalesce(_mapped(str.casefold, "string")(F.when(beyond(text, FOLDS_TO_LOWER), text)), F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
 
 
 def stable_score(seed: int, scope: str | Column, key: Column) -> Column:
@@ -63,11 +68,11 @@ def stable_score(seed: int, scope: str | Column, key: Column) -> Column:
     return _mapped(lambda s: hashlib.blake2b(s.encode(), digest_size=8).digest(), "binary")(F.concat_ws("|", F.lit(str(seed)), scope, key.cast("string")))
 
 
-def char_counts(text: Column) -> Column:
-    """map<string, long>: how often each reportable character stands in the text (beyond ASCII and no white space, or control, format, private)."""
+def char_counts(text: Column, spaces: bool = False) -> Column:
+    """map<string, long>: how often each reportable character stands in the text (beyond ASCII and, unless spaces are asked for, no white space; or control, format, private)."""
 
     def count(t: str) -> dict[str, int]:
-        return {c: t.count(c) for c in set(t) if (ord(c) > 127 and not c.isspace()) or unicodedata.category(c) in ("Cc", "Cf", "Co")}
+        return {c: t.count(c) for c in set(t) if (ord(c) > 127 and (spaces or not c.isspace())) or unicodedata.category(c) in ("Cc", "Cf", "Co")}
 
     return _mapped(count, "map<string,long>")(text)
 

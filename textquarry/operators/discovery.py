@@ -234,9 +234,9 @@ def outlier_axes(features: DataFrame) -> dict[str, tuple[Column, str]]:
     return {k: (v, "max") for k, v in most.items()} | {k: (v, "min") for k, v in least.items()}
 
 
-def unicode_inventory(df: DataFrame, text: str, key: str, seed: int, scope: str) -> DataFrame:
+def unicode_inventory(df: DataFrame, text: str, key: str, seed: int, scope: str, spaces: bool = False) -> DataFrame:
     """char, codepoint, name, category, count, rows, example: the example is the row that comes first by hash. Counts are made within rows before anything is shuffled."""
-    each = df.select(F.col(key), F.explode(char_counts(F.coalesce(F.col(text), F.lit("")))).alias("char", "n"))
+    each = df.select(F.col(key), F.explode(char_counts(F.coalesce(F.col(text), F.lit("")), spaces)).alias("char", "n"))
     score = F.xxhash64(F.lit(f"{seed}|unicode:{scope}"), "char", key)
     sums = each.groupBy("char").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("rows"), F.min_by(key, F.struct(score, F.col(key))).alias("example"))
     return sums.withColumn("_u", char_names(F.col("char"))).select("char", "_u.*", "count", "rows", "example")
