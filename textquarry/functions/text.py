@@ -44,11 +44,12 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"([^{SPACE}]+)"), F.lit(1))
+    """What stands between white space: Java tries the ranges of a negated class for each character, some twenty times as long as a cut at the class itself takes."""
+    return F.array_remove(F.split(text, f"[{SPACE}]+"), "")
 
 
 def word_count(text: Column) -> Column:
-    return matches(text, f"[^{SPACE}]+")
+    return F.array_size(tokens(text)).cast("long")
 
 
 def strip(text: Column) -> Column:
@@ -108,7 +109,7 @@ def letters(text: Column) -> Column:
 
 
 def spaces(text: Column) -> Column:
-    return chars_of(text, SPACE)
+    return (F.length(text) - F.length(F.regexp_replace(text, f"[{SPACE}]+", ""))).cast("long")
 
 
 def token_lengths(text: Column) -> Column:

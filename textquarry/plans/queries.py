@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textquarry.functions import text as T
 from textquarry.functions.unicode import casefold
 from textquarry.operators import assemble, discovery, evaluation, profile, refine, retrieval, sample, segment, stats, targets
-from textquarry.plans.tables import spread
+from textquarry.plans.tables import spread, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
@@ -276,7 +276,7 @@ def source_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{DOC_REFINED} SELECT source, label, count(*) AS available, least(count(*), 5) AS selected FROM labelled GROUP BY ALL")
 def blind_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stratified blind sample; here what each stratum had and gave."""
-    rows = document_labels(spark, sf_dir).select("source", "label", F.col("doc_id").cast("string").alias("sample_id"))
+    rows = written(document_labels(spark, sf_dir).select("source", "label", F.col("doc_id").cast("string").alias("sample_id")), "labels")
     blind, key = refine.blind_and_key(refine.stratified_sample(rows, 5, SEED), (), ("source", "label"))
     picked = blind.join(key, "sample_id").groupBy("source", "label").agg(F.count(F.lit(1)).alias("selected"))
     return rows.groupBy("source", "label").agg(F.count(F.lit(1)).alias("available")).join(picked, ["source", "label"])
