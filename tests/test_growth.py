@@ -70,3 +70,15 @@ def test_classes_are_not_searched_by_their_negation(spark):
         assert (tokens, words, spaces, normal) == ((None,) * 4 if t is None else (t.split(), len(t.split()), sum(c.isspace() for c in t), unicodedata.normalize("NFC", t)))
     plan = df.select(T.tokens(F.col("t")), T.word_count(F.col("t")), T.spaces(F.col("t")), nfc(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "[^" not in plan
+
+
+def test_tokens_are_counted_by_words():
+    """A text has the tokens of its words; a text with spaces that a model keeps is encoded whole."""
+    public = pytest.importorskip("public_tokenizers")
+    from textquarry.functions import tokenizers
+
+    path = public.path("piece_bpe_32k.model")
+    model = tokenizers.loaded(path, "sentencepiece")
+    texts = ["", " ", "a  b", " a", "a ", "one two two", "one\n two", "▁ a▁", "x　y", "word " * 50 + "end", "😀 é ́ one"]
+    assert tokenizers.lengths(path, "sentencepiece", texts) == [len(model.encode(t)) + 2 for t in texts]
+    assert tokenizers.known_words(path)["two"] == len(model.encode("two"))  # remembered
