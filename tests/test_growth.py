@@ -58,6 +58,27 @@ def test_texts_that_hold_nothing(spark, tmp_path, name):
     assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(rel.fetchall(), [d[0] for d in rel.description])
 
 
+#: White space that Python knows and RE2 doesn't, lines that trim() keeps, other digits, and letters, digits, signs of Unicode 14 and 15.
+ODD = [f"{w} x".join("ab") * 8 for w in "\x0b\x1c\x85\xa0\u1680\u2003\u2028\u202f\u3000"] + ["\t\nb\n\t\nb", "b \x85\nb\n\xa0b", "⁴⁵①a", "٣" * 20 + " " + "٣" * 9, "\U00011f51" * 3, "\u1b7d" * 3 + "a", "\u0870", "\U0001fae8", "\x80", "a" + "\xa0b" * 1600]
+
+
+@pytest.mark.parametrize("name", ["signature_counts", "rare_signatures", "signature_examples", "frequent_signatures", "candidate_reasons", "review_batches", "text_features", "top_token_share"])
+def test_characters_count_as_in_sql(spark, tmp_path, name):
+    docs = [(i, t, "en", "src01", len(t)) for i, t in enumerate(ODD)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    df, rel = entry.queries()[name](spark, str(tmp_path)), con.execute(entry.oracle_sql()[name])
+    assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(rel.fetchall(), [d[0] for d in rel.description])
+
+
+def test_no_rare_signature_is_left_out(spark):
+    from textquarry.operators import discovery
+
+    counts = spark.createDataFrame([("signature", f"s{i}", 1 + i % 12) for i in range(300)], "axis string, signature string, pages long")
+    assert discovery.rare_signatures(counts, 10, None, 1).count() == 250 and discovery.rare_signatures(counts, 10, 120, 1).count() == 120
+
+
 def test_classes_are_not_searched_by_their_negation(spark):
     """A search for a negated class of many ranges took 20 times as long as the cut at the class."""
     from textquarry.functions import text as T

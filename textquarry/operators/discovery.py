@@ -31,12 +31,12 @@ def lines_like(text: Column, pattern: str) -> Column:
     return F.size(F.filter(F.split(T.line_endings(text), "\\n"), lambda x: x.rlike(pattern))).cast("long")
 
 
-def text_features(df: DataFrame, text: str, prefix: str) -> DataFrame:
-    """36 counts and ratios of a text column, each named prefix_*."""
-    s = F.col(text)
+def text_features(df: DataFrame, text: str, prefix: str, classes: T.Classes | None = None) -> DataFrame:
+    """36 counts and ratios of a text column, each named prefix_*. classes: what counts as white space, letter, digit and so on, Python's by default."""
+    s, classes = F.col(text), classes or T.Classes.python()
     chars = F.length(s).cast("long")
     tokens = f"{prefix}__tokens"
-    df = df.withColumn(tokens, T.tokens(s))
+    df = df.withColumn(tokens, T.tokens(s, classes.space))
     sorted_tokens = F.array_sort(tokens)
     # The longest run of equal tokens in sorted order, kept as (last, run, best).
     start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
@@ -51,11 +51,11 @@ def text_features(df: DataFrame, text: str, prefix: str) -> DataFrame:
         "utf8_bytes": F.octet_length(s).cast("long"),
         "words": n.cast("long"),
         "lines": F.when(s == "", 0).otherwise(F.size(F.split(T.line_endings(s), "\\n"))).cast("long"),
-        "nonempty_lines": F.size(T.stripped_lines(s)).cast("long"),
+        "nonempty_lines": F.size(T.stripped_lines(s, classes.trimmed)).cast("long"),
         "max_line_len": F.coalesce(F.array_max(F.transform(F.split(T.line_endings(s), "\\n"), F.length)), F.lit(0)).cast("long"),
         "latin_letters": T.latin_letters(s),
         "cyrillic_letters": T.cyrillic_letters(s),
-        "control_chars": T.chars_of(s, "\\p{Cc}"),
+        "control_chars": T.chars_of(s, classes.control),
         "format_chars": T.chars_of(s, "\\p{Cf}"),
         "private_use_chars": T.chars_of(s, "\\p{Co}"),
         "replacement_chars": T.chars_of(s, "\\uFFFD"),
@@ -65,17 +65,17 @@ def text_features(df: DataFrame, text: str, prefix: str) -> DataFrame:
         **{f"long_tokens_{k}": T.of_length(F.transform(tokens, F.length), k) for k in LONG_TOKENS},
         "alpha_digit_transitions": T.letter_digit_turns(s, T.LETTER_DIGIT_CYRILLIC),
         "glued_tokens": F.size(F.filter(tokens, lambda t: (F.length(t) >= 30) & (T.matches(t, T.LETTER_DIGIT_CYRILLIC) >= 2))).cast("long"),
-        "long_digit_runs": T.matches(s, T.LONG_DIGIT_RUN),
+        "long_digit_runs": T.matches(s, classes.digit_run),
         "unique_token_ratio": T.ratio(F.size(F.array_distinct(tokens)), n),
         "top_token_share": T.ratio(F.aggregate(sorted_tokens, start, step, lambda a: a["best"]), n),
-        "repeated_line_instances": T.repeated_lines(s),
+        "repeated_line_instances": T.repeated_lines(s, classes.trimmed),
         "repeated_delimiters": T.matches(s, T.REPEATED_DELIMITER),
         "sha256": F.sha2(s.cast("binary"), 256),
-        "_alpha": T.letters(s),
-        "_digit": T.digits(s),
-        "_whitespace": T.spaces(s),
-        "_punct": T.chars_of(s, "\\p{P}"),
-        "_symbol": T.chars_of(s, "\\p{S}"),
+        "_alpha": T.chars_of(s, classes.letter),
+        "_digit": T.chars_of(s, classes.digit),
+        "_whitespace": T.chars_of(s, classes.space),
+        "_punct": T.chars_of(s, classes.punct),
+        "_symbol": T.chars_of(s, classes.symbol),
     }
     df = df.withColumns({f"{prefix}_{k}": v for k, v in values.items()})
 
@@ -263,8 +263,10 @@ def frequent_signatures(counts: DataFrame, n: int) -> DataFrame:
     return counts.withColumn("nth", F.row_number().over(Window.partitionBy("axis").orderBy(F.desc("pages"), "signature"))).where(F.col("nth") <= n)
 
 
-def rare_signatures(counts: DataFrame, most: int, n: int, seed: int) -> DataFrame:
-    """Signatures of at most `most` pages: the first n of each axis by hash."""
+def rare_signatures(counts: DataFrame, most: int, n: int | None, seed: int) -> DataFrame:
+    """Signatures of at most `most` pages: all of them, or the first n of each axis by hash."""
+    if n is None:
+        return counts.where(F.col("pages") <= most)
     rare = counts.where(F.col("pages") <= most).withColumn("_score", stable_score(seed, F.concat(F.lit("rare-"), F.col("axis")), F.col("signature")))
     return rare.withColumn("nth", F.row_number().over(Window.partitionBy("axis").orderBy("_score", "signature"))).where(F.col("nth") <= n).drop("_score")
 
