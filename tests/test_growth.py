@@ -110,3 +110,63 @@ def test_dense_search_sends_the_best_of_each_task(spark):
     q = rows.where("vec_id < 3")
     sent = retrieval.dense_top_k(rows, q, 5)
     assert sent.count() == 3 * 5  # one task, however many batches
+
+
+def many_queries(spark, n=300):
+    return spark.createDataFrame([(i, f"common rare own{i} own{i} own{i + 1} w{i % 3}") for i in range(n)], "qid long, text string")
+
+
+def test_queries_share_a_vocabulary_and_rare_terms_have_lists(spark, monkeypatch):
+    """Before, each block cut all texts again, and held a matrix of its queries by all their terms."""
+    docs, _ = lexical_tables(spark)
+    queries, kept = many_queries(spark), []
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 130)
+    blocks = retrieval.blocks(docs, queries, keep=lambda df: kept.append(df) or df.cache())
+    assert [len(b.ids) for b in blocks] == [130, 130, 40] and len(kept) == 1
+    assert all(b.matrix.shape[1] < 10 < len(b.terms) for b in blocks[:2])
+    made = [retrieval.lexical_scores(b, ["bm25", "overlap"], more=True) for b in blocks]
+    got = {(r["run"], r["qid"], r["doc_id"]): r for r in retrieval.over_blocks(made, None).collect()}
+    tf = {r["doc_id"]: (r["text"] or "").split() for r in docs.collect()}
+    known = [len(t) for r, t in tf.items() if r != 2000]
+    import math
+
+    for q in (0, 5, 131, 299):
+        asked = [t for t in f"common rare own{q} own{q} own{q + 1} w{q % 3}".split()]
+        for d in (0, 5, 6, 50, 131, 300, 2000, 2001):
+            both = set(asked) & set(tf[d])
+            row = got.get(("bm25", q, d))
+            assert (row is None) == (not both)
+            if not both:
+                continue
+            idf = {t: math.log(1 + (len(tf) - n + 0.5) / (n + 0.5)) for t in both for n in [sum(t in x for x in tf.values())]}
+            room = 1.2 * (0.25 + 0.75 * len(tf[d]) / (sum(known) / len(known)))
+            want = sum(asked.count(t) * idf[t] * tf[d].count(t) * 2.2 / (tf[d].count(t) + room) for t in both)
+            norm = math.prod(math.sqrt(sum(x.count(t) ** 2 for t in set(x))) for x in (asked, tf[d]))
+            cosine = sum(asked.count(t) * tf[d].count(t) for t in both) / norm
+            assert row["score"] == row["bm25"] and abs(row["bm25"] - want) < 1e-6 and abs(row["overlap"] - cosine) < 1e-6
+            assert row["part"] == len(both) / len(set(asked)) and got["overlap", q, d]["score"] == row["overlap"]
+
+
+def test_tasks_are_few_where_many_queries_are_asked(spark, monkeypatch):
+    docs, _ = lexical_tables(spark)
+    monkeypatch.setattr(retrieval, "SENT", 10)
+    (block,) = retrieval.blocks(docs.repartition(20, "doc_id"), many_queries(spark))
+    assert retrieval.lexical_scores(block, ["bm25"], 5).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism < 20
+
+
+def test_judgements_are_counted_and_not_written(spark, tmp_path, monkeypatch):
+    """Before, all judgements were written or shuffled, a row for each pair."""
+    from textquarry.plans import queries_evaluation as plans
+
+    docs, _ = lexical_tables(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    many_queries(spark, 40).withColumnRenamed("qid", "item_id").write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels, written = [], plans.written
+    monkeypatch.setattr(plans, "written", lambda df, label: labels.append(label) or written(df, label))
+    for name in ("ranking_metrics", "judged_coverage", "set_complementarity", "fusion_gains", "best_setting", "convex_fusion"):
+        entry.queries()[name](spark, str(tmp_path)).collect()
+    assert set(labels) == {"counts", "runs", "grades"}
+    c = plans.collection(spark, str(tmp_path))
+    qrels, runs = c.qrels(), c.runs()
+    assert sorted(map(tuple, c.grades().collect())) == sorted(map(tuple, evaluation.grades(qrels).collect()))
+    assert sorted(map(str, evaluation.judged(runs.drop("grade"), qrels).select("run", "qid", "rank", "grade").collect())) == sorted(map(str, runs.select("run", "qid", "rank", "grade").collect()))

@@ -29,10 +29,15 @@ def ideal_gains(qrels: DataFrame, k: int) -> DataFrame:
 
 def metrics(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """run, qid, ndcg_10, ndcg_5, recall_50, ap_100, rr_10, bpref, judged_10; null for queries without relevant documents."""
-    per = grades(qrels).select("qid", (F.col("grade_1") + F.col("grade_2")).alias("relevant"), F.col("grade_0").alias("nonrelevant"), ideal_gain(10).alias("idcg_10"), ideal_gain(5).alias("idcg_5"))
+    return graded_metrics(judged(run, qrels), grades(qrels))
+
+
+def graded_metrics(run: DataFrame, counts: DataFrame) -> DataFrame:
+    """metrics of a run with grades, and the counts of all judgements as `grades` gives them."""
+    per = counts.select("qid", (F.col("grade_1") + F.col("grade_2")).alias("relevant"), F.col("grade_0").alias("nonrelevant"), ideal_gain(10).alias("idcg_10"), ideal_gain(5).alias("idcg_5"))
     w = Window.partitionBy("run", "qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     relevant, bad = F.coalesce(F.col("grade") >= 1, F.lit(False)), F.coalesce(F.col("grade") == 0, F.lit(False))
-    seen = judged(run, qrels).withColumns({"hits": F.sum(relevant.cast("int")).over(w), "misses": F.sum(bad.cast("int")).over(w)}).join(per, "qid")
+    seen = run.withColumns({"hits": F.sum(relevant.cast("int")).over(w), "misses": F.sum(bad.cast("int")).over(w)}).join(per, "qid")
     gain = (F.pow(F.lit(2.0), F.coalesce("grade", F.lit(0))) - 1) / F.log2(F.col("rank") + 1)
 
     def within(k: int, value: Column) -> Column:
@@ -73,18 +78,28 @@ def pool(runs: DataFrame, depth: int) -> DataFrame:
 
 def coverage(runs: DataFrame, qrels: DataFrame, depth: int) -> DataFrame:
     """run, judged, shown, coverage at a depth."""
-    first = judged(runs.where(F.col("rank") <= depth), qrels)
-    return first.groupBy("run").agg(F.count("grade").alias("judged"), F.count(F.lit(1)).alias("shown")).withColumn("coverage", F.round(F.col("judged") / F.col("shown"), 6))
+    return graded_coverage(judged(runs.where(F.col("rank") <= depth), qrels), depth)
+
+
+def graded_coverage(runs: DataFrame, depth: int) -> DataFrame:
+    """coverage of runs with grades."""
+    return runs.where(F.col("rank") <= depth).groupBy("run").agg(F.count("grade").alias("judged"), F.count(F.lit(1)).alias("shown")).withColumn("coverage", F.round(F.col("judged") / F.col("shown"), 6))
 
 
 def complementarity(a: DataFrame, b: DataFrame, qrels: DataFrame, depth: int = 50) -> DataFrame:
     """qid and counts of relevant documents that only a, only b or both find within depth, Jaccard, set change, union recall, headroom."""
-    relevant = qrels.where("grade >= 1").select("qid", "doc_id")
+    first, pairs = F.col("rank") <= depth, qrels.select("qid", "doc_id", "grade")
+    return graded_complementarity(judged(a.where(first), pairs), judged(b.where(first), pairs), grades(pairs), depth)
+
+
+def graded_complementarity(a: DataFrame, b: DataFrame, counts: DataFrame, depth: int = 50) -> DataFrame:
+    """complementarity of runs with grades; counts of all judgements as `grades` gives them."""
 
     def hits(run: DataFrame, name: str) -> DataFrame:
-        return relevant.join(run.where(F.col("rank") <= depth).select("qid", "doc_id").distinct(), ["qid", "doc_id"], "left_semi").groupBy("qid").agg(F.collect_set("doc_id").alias(name))  # at most depth ids
+        return run.where((F.col("rank") <= depth) & (F.col("grade") >= 1)).groupBy("qid").agg(F.collect_set("doc_id").alias(name))  # at most depth ids
 
-    per = relevant.groupBy("qid").agg(F.count(F.lit(1)).alias("relevant")).join(hits(a, "a"), "qid", "left").join(hits(b, "b"), "qid", "left")
+    relevant = counts.select("qid", (F.col("grade_1") + F.col("grade_2")).alias("relevant")).where("relevant > 0")
+    per = relevant.join(hits(a, "a"), "qid", "left").join(hits(b, "b"), "qid", "left")
     none = F.array().cast("array<bigint>")
     per = per.withColumns({"a": F.coalesce("a", none), "b": F.coalesce("b", none)})
     both, either = F.size(F.array_intersect("a", "b")), F.size(F.array_union("a", "b"))
@@ -97,7 +112,7 @@ def complementarity(a: DataFrame, b: DataFrame, qrels: DataFrame, depth: int = 5
 def gains(per_query: DataFrame, metric: str, system: str, baselines: list[str]) -> DataFrame:
     """qid, gain over each baseline, and over the one with the best mean (the first of equals)."""
     wide = per_query.where(F.col("run").isin(system, *baselines)).groupBy("qid").pivot("run", [system, *baselines]).agg(F.first(metric))
-    means = wide.agg(*[F.avg(b).alias(b) for b in baselines]).first()
+    means = wide.agg(*[F.avg(b).alias(b) for b in baselines]).first() if len(baselines) > 1 else {baselines[0]: None}
     best = max(baselines, key=lambda b: (means[b] if means[b] is not None else float("-inf"), -baselines.index(b)))
     return wide.select("qid", *[F.round(F.col(system) - F.col(b), 6).alias(f"gain_{b}") for b in baselines], F.round(F.col(system) - F.col(best), 6).alias("gain_best"), F.lit(best).alias("best"))
 
