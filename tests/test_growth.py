@@ -170,3 +170,22 @@ def test_judgements_are_counted_and_not_written(spark, tmp_path, monkeypatch):
     qrels, runs = c.qrels(), c.runs()
     assert sorted(map(tuple, c.grades().collect())) == sorted(map(tuple, evaluation.grades(qrels).collect()))
     assert sorted(map(str, evaluation.judged(runs.drop("grade"), qrels).select("run", "qid", "rank", "grade").collect())) == sorted(map(str, runs.select("run", "qid", "rank", "grade").collect()))
+
+
+def test_rounds_are_dealt_over_the_cores(spark):
+    """The few values lie in one partition; before, one task drew all rounds of them."""
+    import hashlib
+
+    from textquarry.operators import stats
+
+    values = [((i * 37) % 11 - 4) / 10 for i in range(30)]
+    diffs = spark.createDataFrame(list(enumerate(values)), "qid long, diff double").coalesce(1)
+    permuted, drawn = stats.permutation_test(diffs, 200, 5), stats.bootstrap_interval(diffs, 200, 5)
+    for df in (permuted, drawn):
+        assert f"splits=Some({4 * spark.sparkContext.defaultParallelism})" in df._jdf.queryExecution().optimizedPlan().toString()
+    sums = [sum(v if hashlib.md5(f"5|{r}|{i}".encode()).hexdigest()[0] < "8" else -v for i, v in enumerate(values)) for r in range(200)]
+    real = abs(sum(values))
+    assert abs(permuted.first()["p"] - (sum(abs(s) >= real - 1e-9 for s in sums) + 1) / 201) < 1e-12
+    means = sorted(sum(values[int(hashlib.md5(f"5|{r}|{i + 1}".encode()).hexdigest()[:8], 16) % 30] for i in range(30)) / 30 for r in range(200))
+    low = means[4] + (means[5] - means[4]) * (0.025 * 199 - 4)
+    assert abs(drawn.first()["low"] - low) < 1e-9

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -10,10 +10,15 @@ def _hex_number(text: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")
 
 
+def dealt_rounds(spark: SparkSession, rounds: int) -> DataFrame:
+    """round, over all cores: the few values that a round draws from may lie in one partition."""
+    return spark.range(0, rounds, 1, 4 * spark.sparkContext.defaultParallelism).toDF("round")
+
+
 def permutation_test(diffs: DataFrame, rounds: int, seed: int, key: str = "qid", value: str = "diff") -> DataFrame:
     """n, mean, p: two-sided paired test with hash-drawn signs, so any partitioning gives the same result."""
     known = diffs.where(F.col(value).isNotNull()).select(key, value)
-    signs = known.crossJoin(F.broadcast(diffs.sparkSession.range(rounds).toDF("round")))  # rounds is a parameter
+    signs = dealt_rounds(diffs.sparkSession, rounds).crossJoin(F.broadcast(known))  # a row for each query
     sign = F.when(_hex_number(F.concat_ws("|", F.lit(str(seed)), F.col("round").cast("string"), F.col(key).cast("string")), 1) < 8, 1.0).otherwise(-1.0)
     sums = signs.groupBy("round").agg(F.round(F.sum(sign * F.col(value)), 9).alias("s"))
     real = known.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.round(F.abs(F.sum(value)), 9).alias("real"))
@@ -24,7 +29,7 @@ def bootstrap_interval(diffs: DataFrame, rounds: int, seed: int, key: str = "qid
     """n, mean, low, high: the percentile interval of the mean over hash-drawn resamples. Values are numbered by key."""
     known = diffs.where(F.col(value).isNotNull()).select(F.row_number().over(Window.orderBy(key)).alias("nth"), F.col(value).alias("v"))  # a row for each query
     n = known.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
-    draws = known.crossJoin(F.broadcast(diffs.sparkSession.range(rounds).toDF("round"))).crossJoin(F.broadcast(n))
+    draws = dealt_rounds(diffs.sparkSession, rounds).crossJoin(F.broadcast(known.select("nth"))).crossJoin(F.broadcast(n))
     pick = _hex_number(F.concat_ws("|", F.lit(str(seed)), F.col("round").cast("string"), F.col("nth").cast("string")), 8) % F.col("n") + 1
     means = draws.withColumn("pick", pick).select("round", "pick", "n", "mean").join(F.broadcast(known.select(F.col("nth").alias("pick"), F.col("v").alias("drawn"))), "pick").groupBy("round", "n", "mean").agg(F.avg("drawn").alias("m"))
     tail = (1 - level) / 2
