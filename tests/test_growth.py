@@ -189,3 +189,19 @@ def test_rounds_are_dealt_over_the_cores(spark):
     means = sorted(sum(values[int(hashlib.md5(f"5|{r}|{i + 1}".encode()).hexdigest()[:8], 16) % 30] for i in range(30)) / 30 for r in range(200))
     low = means[4] + (means[5] - means[4]) * (0.025 * 199 - 4)
     assert abs(drawn.first()["low"] - low) < 1e-9
+
+
+def test_few_texts_are_python_strings_at_once(spark):
+    """An Arrow batch may hold 10,000 pages; before, all of them and their results were Python objects together."""
+    import pyarrow as pa
+
+    from textquarry.functions import unicode
+
+    seen = []
+    texts = pa.array([f"{i}" + "x" * 100_000 for i in range(50)] + ["y" * 3_000_000, None, ""])
+    out = unicode.in_slices(texts, lambda part: seen.append(sum(len(t or "") for t in part)) or pa.array([t and t[:3] for t in part], pa.string()))
+    assert out.to_pylist() == [t and t[:3] for t in texts.to_pylist()] and max(seen[:3]) < 2 * unicode.SLICE and len(seen) > 5
+    assert unicode.in_slices(texts.slice(0, 0), lambda part: pa.array(part, pa.string())).to_pylist() == []
+    raws = ["<b>a</b> [[x|y]]", None, "", "{{t}}é"]
+    got = spark.createDataFrame([(r,) for r in raws], "raw string").select(unicode.strip_markup(F.col("raw")).alias("p")).collect()
+    assert [tuple(r["p"]) for r in got] == [(None,) * 4 if r is None else unicode.plain_text(r) for r in raws]

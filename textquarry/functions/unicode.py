@@ -11,11 +11,14 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Few ranges, as Java tries them one by one: text of these characters alone is in NFC (the test says so of each).
 SETTLED = "\\x00-\\u02ff\\u0400-\\u0482\\u048a-\\u052f\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf"
+#: Bytes of texts that are Python strings at once; a batch of Arrow may hold 10,000 long texts.
+SLICE = 1 << 20
 #: Characters whose case folding is their lower case, wherever they stand; sharp s is among them, as casefold() replaces it.
 FOLDS_TO_LOWER = "\\x00-\\u00b4\\u00b6-\\u012f\\u0131-\\u0148\\u014a-\\u017e\\u0400-\\u052f\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf"
 
@@ -47,6 +50,23 @@ def _mapped(function: Callable[[str], object], kind: str):
     return udf
 
 
+def in_slices(texts: pa.Array, function: Callable[[list[str | None]], pa.Array]) -> pa.Array:
+    """function over SLICE bytes of texts at a time (a longer text by itself), joined."""
+    step, at, done = max(1, int(len(texts) * min(1.0, SLICE / max(1, texts.nbytes)))), 0, []
+    while at < len(texts) or not done:
+        done.append(function(texts.slice(at, step).to_pylist()))
+        at += step
+    return pa.concat_arrays(done)
+
+
+def _respelt(function: Callable[[str], str]):
+    @F.arrow_udf("string")
+    def udf(texts: pa.Array) -> pa.Array:
+        return in_slices(texts, lambda part: pa.array([None if t is None else function(t) for t in part], pa.string()))
+
+    return udf
+
+
 def beyond(text: Column, kinds: str) -> Column:
     """Whether the text holds a character outside a class (without brackets). One greedy run of the class is far quicker than a search for its negation."""
     return ~text.rlike(f"\\A[{kinds}]*+\\z")
@@ -54,12 +74,12 @@ def beyond(text: Column, kinds: str) -> Column:
 
 def nfc(text: Column) -> Column:
     """Normalisation form C; text that is in it for certain stays in the JVM."""
-    return F.coalesce(_mapped(lambda t: unicodedata.normalize("NFC", t), "string")(F.when(beyond(text, SETTLED), text)), text)
+    return F.coalesce(_respelt(lambda t: unicodedata.normalize("NFC", t))(F.when(beyond(text, SETTLED), text)), text)
 
 
 def casefold(text: Column) -> Column:
     """Full case folding; only text with special characters leaves the JVM."""
-    return F.coalesce(_mapped(str.casefold, "string")(F.when(beyond(text, FOLDS_TO_LOWER), text)), F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
+    return F.coalesce(_respelt(str.casefold)(F.when(beyond(text, FOLDS_TO_LOWER), text)), F.replace(F.lower(text), F.lit("ß"), F.lit("ss")))
 
 
 def stable_score(seed: int, scope: str | Column, key: Column) -> Column:
@@ -111,7 +131,7 @@ def excerpt(text: str, most: int) -> str:
 
 
 def smart_excerpt(text: Column, most: int) -> Column:
-    return _mapped(lambda t: excerpt(t, most), "string")(text)
+    return _respelt(lambda t: excerpt(t, most))(text)
 
 
 TAGS = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]{0,2000}>", re.IGNORECASE | re.DOTALL)
@@ -143,8 +163,12 @@ def plain_text(raw: str) -> tuple[str, int, int, int]:
 def strip_markup(raw: Column) -> Column:
     """struct<text, ast_templates, ast_tags, ast_links> of raw markup; null for null."""
 
-    @F.pandas_udf("text string, ast_templates long, ast_tags long, ast_links long")
-    def udf(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None,) * 4 if t is None else plain_text(t) for t in texts], columns=["text", "ast_templates", "ast_tags", "ast_links"])
+    def strip(part: list[str | None]) -> pa.Array:
+        columns = zip(*[(None,) * 4 if t is None else plain_text(t) for t in part], strict=True) if part else [()] * 4
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64() if i else pa.string()) for i, c in enumerate(columns)], names=["text", "ast_templates", "ast_tags", "ast_links"])
+
+    @F.arrow_udf("text string, ast_templates long, ast_tags long, ast_links long")
+    def udf(texts: pa.Array) -> pa.Array:
+        return in_slices(texts, strip)
 
     return udf(raw)
